@@ -1,0 +1,28 @@
+"""The pN_ queries of this subpackage and their SQL; __spark_entry__.py adds them where the folder exists."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corvane.llm.lookalike import canonical_text, lookalike_pairs
+from corvane.session import read_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike_pairs(read_table(spark, sf, "articles_cleaned"))
+
+
+def p1_canonical_text(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical_text(read_table(spark, sf, "articles_cleaned").select("seq", "text"))
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
