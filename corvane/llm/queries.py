@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.bpe import token_ids
+from corvane.llm.leakage import leaks, without_leaks
 from corvane.llm.lookalike import canonical_text, lookalike_pairs
 from corvane.session import read_table
 
@@ -20,6 +22,18 @@ def p1_canonical_text(spark: SparkSession, sf: str) -> DataFrame:
     return canonical_text(read_table(spark, sf, "articles_cleaned").select("seq", "text"))
 
 
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return token_ids(read_table(spark, sf, "documents"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return without_leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
