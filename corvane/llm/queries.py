@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.bpe import token_ids
+from corvane.llm.furniture import repeated_lines, without_repeated_lines
 from corvane.llm.leakage import leaks, without_leaks
 from corvane.llm.lookalike import canonical_text, lookalike_pairs
+from corvane.llm.neardup import near_duplicate_pairs
 from corvane.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +24,18 @@ def p1_canonical_text(spark: SparkSession, sf: str) -> DataFrame:
     return canonical_text(read_table(spark, sf, "articles_cleaned").select("seq", "text"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_lines(read_table(spark, sf, "articles_cleaned"))
+
+
+def p2_without_repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return without_repeated_lines(read_table(spark, sf, "articles_cleaned")).select("seq", "text")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicate_pairs(read_table(spark, sf, "articles"), words=3, similarity=0.7, min_words=10)
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids(read_table(spark, sf, "documents"))
 
