@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.llm.bpe import token_ids
 from corvane.llm.furniture import repeated_lines, without_repeated_lines
 from corvane.llm.leakage import leaks, without_leaks
 from corvane.llm.lookalike import canonical_text, lookalike_pairs
+from corvane.llm import mixing
 from corvane.llm.neardup import near_duplicate_pairs
 from corvane.session import read_table
 
@@ -32,6 +33,21 @@ def p2_without_repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
     return without_repeated_lines(read_table(spark, sf, "articles_cleaned")).select("seq", "text")
 
 
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    records = mixing.pool(read_table(spark, sf, "articles_cleaned"), "articles_cleaned", "seq").unionByName(mixing.pool(read_table(spark, sf, "general_corpus"), "general_corpus", "text_id"))
+    return mixing.plan(records, read_table(spark, sf, "mix_targets"))
+
+
+def p4_mix(spark: SparkSession, sf: str) -> DataFrame:
+    chosen, goals = _mix(spark, sf)
+    reached = mixing.shares(chosen, goals).select("source", F.col("share").alias("source_share"))
+    return mixing.mix(chosen).join(F.broadcast(reached), "source")  # one row per target, checked in plan()
+
+
+def p4_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(*_mix(spark, sf))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_pairs(read_table(spark, sf, "articles"), words=3, similarity=0.7, min_words=10)
 
