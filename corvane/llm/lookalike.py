@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corvane.llm.codepoints import canonical_column
-from corvane.session import ship
+from corvane.session import cut, ship
 
 FORM = "canonical_form"
 
@@ -53,9 +53,9 @@ def lookalike_pairs(df: DataFrame, key: str = "seq", text: str = "text") -> Data
     left to skew handling at run time: its output is the listing itself.
     """
     rows = canonical_text(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull()), "t", FORM)
-    digests = rows.where(F.length(F.trim(F.regexp_replace(FORM, "\n", ""))) > 0).select(
+    digests = cut(rows.where(F.length(F.trim(F.regexp_replace(FORM, "\n", ""))) > 0).select(
         "k", F.unhex(F.md5(FORM)).alias("form"), F.unhex(F.md5("t")).alias("raw")
-    ).distinct()
+    ).distinct())  # texts are read once
     several = digests.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     inside = digests.join(several, "form", "left_semi")
     a = inside.select("form", F.col("k").alias("a"), F.col("raw").alias("raw_a"))

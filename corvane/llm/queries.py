@@ -12,6 +12,7 @@ from corvane.llm.leakage import leaks, without_leaks
 from corvane.llm.lookalike import canonical_text, lookalike_pairs
 from corvane.llm import mixing
 from corvane.llm.neardup import near_duplicate_pairs
+from corvane.llm.pairs import defective_pairs
 from corvane.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,10 @@ def p2_without_repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
     return without_repeated_lines(read_table(spark, sf, "articles_cleaned")).select("seq", "text")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return defective_pairs(read_table(spark, sf, "qa_pairs"))
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     records = mixing.pool(read_table(spark, sf, "articles_cleaned"), "articles_cleaned", "seq").unionByName(mixing.pool(read_table(spark, sf, "general_corpus"), "general_corpus", "text_id"))
     return mixing.plan(records, read_table(spark, sf, "mix_targets"))
