@@ -40,10 +40,10 @@ ANSWER_LABELS = "answer a output response reply result respuesta r salida répon
 QUESTION_LABELS = "q question questions you asked ask the instruction prompt input query user pregunta preguntaste usted preguntó instrucción frage du fragtest sie fragten gefragt vous avez demandé tu as consigne aufgabe вопрос".split()
 # Frequent function words by language; words that two of them share are left out where they mislead.
 FUNCTION_WORDS = {
-    "en": "the and is are was it its that this these those with from for to in on at by not no if then when where which what why how who does do did can will would be been has have had you your they their there than but or as an only one some any about into between without after before because all both",
-    "es": "el la los las un una unos y es son está en con por para que se del al no si cuando donde dónde qué cómo como más muy pero o su sus lo le les hay fue era cada desde sin sobre entre también después hasta porque esta este para sirve contra cuál quién",
-    "fr": "le la les un une des et est sont dans avec pour par que qui se du au aux ne pas si quand où quoi comment plus très mais ou son sa ses il elle on ce cette chaque depuis sans sur entre aussi après contre à je nous vous quel quels quelle quelles trouve",
-    "de": "der die das den dem des ein eine einen einem einer und ist sind im in mit für von zu zum zur auf aus bei nach nicht kein keine wenn wo was wie wer man mehr sehr aber oder sein seine es er sie ich wir hat haben wird werden durch über unter zwischen ohne vor seit nur noch dass am um",
+    "en": "the and is are was it its that this these those with from for to in on at by not no if then when where which what why how who does do did can will would be been has have had you your they their there than but or as an only one some any about into between without after before because all both most near need needs each known like such tell explain give me short",
+    "es": "el la los las un una unos y es son está en con por para que se del al no si cuando donde dónde qué cómo como más muy pero o su sus lo le les hay fue era cada desde sin sobre entre también después hasta porque esta este para sirve contra cuál quién explica cerca hace ser dos muchos juego todo cual",
+    "fr": "le la les un une des et est sont dans avec pour par que qui se du au aux ne pas si quand où quoi comment plus très mais ou son sa ses il elle on ce cette chaque depuis sans sur entre aussi après contre à je nous vous quel quels quelle quelles trouve explique faire fabriquer près jeu fois tout comme même",
+    "de": "der die das den dem des ein eine einen einem einer und ist sind im in mit für von zu zum zur auf aus bei nach nicht kein keine wenn wo was wie wer man mehr sehr aber oder sein seine es er sie ich wir hat haben wird werden durch über unter zwischen ohne vor seit nur noch dass am um erkläre findet gehört immer alle viele dort jede jeder",
 }
 LANGUAGE_NAMES = {
     "en": "english inglés ingles anglais englisch englische английский английском",
