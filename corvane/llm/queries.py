@@ -13,6 +13,7 @@ from corvane.llm.lookalike import canonical_text, lookalike_pairs
 from corvane.llm import mixing
 from corvane.llm.neardup import near_duplicate_pairs
 from corvane.llm.pairs import defective_pairs
+from corvane.llm.quality import FEATURES, kinds
 from corvane.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_pairs(read_table(spark, sf, "articles"), words=3, similarity=0.7, min_words=10)
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return kinds(read_table(spark, sf, "articles")).where("kind <> 'prose'").select("seq", "kind").distinct()
+
+
+def p6_figures(spark: SparkSession, sf: str) -> DataFrame:
+    return kinds(read_table(spark, sf, "articles")).select("seq", "words", "count_matches", *FEATURES, "kind")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids(read_table(spark, sf, "documents"))
 
