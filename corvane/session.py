@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _shipped: set[str] = set()
 
@@ -46,3 +46,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def computed_once(df: DataFrame, named: dict[str, Column]) -> DataFrame:
+    """df with these columns, each computed exactly once per row.
+
+    The optimizer copies a column's expression into every filter and expression above it; for costly ones that
+    repeats the work many times over. A generator that yields one row is a step it doesn't copy through.
+    """
+    keep = [c for c in df.columns if c not in named]
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in named.items()]))))
