@@ -14,6 +14,7 @@ from corvane.llm import mixing
 from corvane.llm.neardup import near_duplicate_pairs
 from corvane.llm.pairs import defective_pairs
 from corvane.llm.quality import FEATURES, kinds
+from corvane.llm.spam import spam_pages
 from corvane.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +79,11 @@ def p8_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     return without_leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    prose = [read_table(spark, sf, "general_corpus"), kinds(read_table(spark, sf, "articles")).where("kind = 'prose'")]
+    return spam_pages(read_table(spark, sf, "documents"), prose)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
