@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corvane.llm.pairs import FUNCTION_WORDS
 from corvane.llm.rulelist import RuleList, induce
 from corvane.llm.sampledocs import labelled_documents
+from corvane.session import computed_once
 
 TRAINING = 4000
 SEED = 11
@@ -33,63 +34,84 @@ FEATURES = ("mean_word_length", "symbol_share", "digit_share", "closed_share", "
 LEARNED_ON = ("closed_share", "item_share", "cell_share", "odd_share", "bare_share")
 
 
-def _size(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+# a word of letters and digits mixed, an endless one, damaged encoding, markup, or symbols alone
+ODD = r"^(?:(?=.*\p{L})(?=.*\d).{4,}|.{24,}|.*[ÃÂâïÐ][^\x00-\x7f].*|.*[<>{}\\~^@$].*|(?=[!%&*+/:;=?_#.-]*[^.=-])[!%&*+/:;=?_#.-]{3,})$"
 
 
 def figures(df: DataFrame, text: str = "text", word_count: str | None = "word_count") -> DataFrame:
-    """df with words, count_matches and the FEATURES of each text."""
+    """df with words, count_matches and the FEATURES of each text. Each step's arrays are columns of their own, so that nothing is computed twice."""
     t = F.col(text)
     # links and templates of wiki markup stand for what they show
-    plain = F.regexp_replace(F.regexp_replace(t, r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1"), r"\{\{[^{}|]*(?:\|[^{}]*)?\}\}", " ")
-    common = r"(?iU)(?<![\p{L}\p{N}'’-])(?:" + "|".join(w for w in COMMON if w not in IN_NAMES) + r")(?![\p{L}\p{N}'’-])"
-    any_common = r"(?iU)(?<![\p{L}\p{N}'’-])(?:" + "|".join(COMMON) + r")(?![\p{L}\p{N}'’-])"
+    plain = F.regexp_replace(F.regexp_replace(t, r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1"), r"\{\{[^{}]*\}\}", " ")
+    strict = [w for w in COMMON if w not in IN_NAMES]
 
-    odd = r"(?U)(?<=^|\s)(?:(?=\S*\p{L})(?=\S*\d)\S{4,}|\S{24,}|\S*[ÃÂâïÐ][^\x00-\x7f]\S*|\S*[<>{}\\~^@$]\S*|(?=\S*[!%&*+/:;=?_#.-]{2})[!%&*+/:;=?_#.-]{3,})(?=\s|$)"
-
-    def line(x: Column) -> Column:
+    def measured(x: Column) -> Column:
         s = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-        n = _size(s, WORD)
-        stop = s.rlike(r"[.!?…。][\"”»’')\]]*$")
-        cells = s.rlike(r"^(?:\|[-}+]|\|{1,2} ?[\p{L}\p{N}—–-]|\{\| ?\w|! ?[\p{L}\p{N} ]+(?:!!|\||$))") | s.rlike(r"[\p{L}\p{N}%—)] ?(?:\| ?[\p{L}\p{N}—–]|\|\| ?[\p{L}\p{N}—–])[^|]*\|") | s.rlike(r"\S *\t *\S") | s.rlike(r"^[^;]+ ; [^;]+ ; ") | s.rlike(r"^[^,]{1,40}(?:,[^,\s][^,]{0,39}){2,}$") | s.rlike(r"^\S+(?: \S+){0,3}(?: {2,}\S+(?: \S+){0,3})+$")
-        pair = s.rlike(r"^[\p{L}][\p{L}\p{N} _'()/-]{0,30}(?::| = | =)\s*[^\s:=]+(?: [^\s:=]+){0,3}$") & ~stop
+        return F.struct(s.alias("s"), F.split(s, r"(?U)\s+").alias("tokens"), F.split(F.lower(s), r"[^\p{L}'’]+").alias("words"))
+
+    def counted(x: Column) -> Column:
+        s = x["s"]
+        return F.struct(
+            s.alias("s"),
+            F.when(s == "", 0).otherwise(F.size(x["tokens"])).alias("n"),
+            F.size(F.filter(x["words"], lambda w: w.isin(strict))).alias("common"),
+            F.size(F.filter(x["words"], lambda w: w.isin(COMMON))).alias("any"),
+            F.size(F.filter(x["tokens"], lambda w: w.rlike(ODD))).alias("odd"),
+            s.rlike(r"[.!?…。][\"”»’')\]]*$").alias("stop"),
+            F.split(s, r", ").alias("by_comma"),
+            F.split(s, r" {2,}").alias("by_gap"),
+        )
+
+    def told(x: Column) -> Column:
+        s, n, stop = x["s"], x["n"], x["stop"]
+        by = lambda sep: F.size(F.split(s, sep))
+        csv = (F.size(x["by_comma"]) == 1) & (by(",") >= 3) & F.forall(F.split(s, ","), lambda c: (F.length(c) > 0) & (F.length(c) <= 40))
+        gaps = (F.size(x["by_gap"]) >= 2) & F.forall(x["by_gap"], lambda c: F.size(F.split(c, " ")) <= 4)
+        bars = s.rlike(r"^(?:\|[-}+]|\|{1,2} ?[\p{L}\p{N}—–-]|\{\| ?\w|! ?[\p{L}\p{N} ]+(?:!!|\||$))") | s.rlike(r"[\p{L}\p{N}%—)] ?\|\|? ?[\p{L}\p{N}—–][^|]*\|")
+        cells = bars | s.contains("\t") | (by(" ; ") >= 3) | csv | gaps
+        pair = ~stop & s.rlike(r"^\p{L}[\p{L}\p{N} _'()/-]{0,30}(?::| =)\s*[^\s:=]+(?: [^\s:=]+){0,3}$")
         marked = s.rlike(r"^(?:[-*•–—+·▪►✓]|#\d{1,4}|\d{1,4}[.):]|\d{1,4}(?= (?:x |\p{L}{3}))|\(\d{1,4}\)|\[[ xX✓]?\]|[a-zA-Z][.)])\s+\S") & s.rlike(r"\p{L}")
         heading = s.rlike(r"^=.*=$")
-        markup = s.rlike(r"[<>{}\\\\=]|&#?\w+;|\S{24,}")
-        few_common = _size(s, common) * 5 <= n
-        short = (n <= 8) & ~s.rlike(r"[.!?…:;,\"”»]$") & ~heading & few_common & ~markup & (_size(s, r"\p{L}{2,}") * 2 >= n)
-        run = ~stop & few_common & (s.rlike(r"^[^,]{2,40}(?:, [^,]{2,40}){3,}$") | s.rlike(r"^[^;]{2,40}(?:; [^;]{2,40}){3,}$") | s.rlike(r"^[^•·]{2,40}(?: [•·] [^•·]{2,40}){3,}$"))
-        item = (marked & (~stop | (n <= 4)) & (_size(s, common) * 4 <= n)) | short | run
-        bare = _size(s, any_common) * 12 <= n  # running text with next to no function word
-        kind = F.when(cells | pair, "c").when(item, "i").when(heading, "o").when(bare, "b").when(stop, "s").otherwise("o")
-        return F.struct(n.alias("n"), kind.alias("kind"), (n <= 8).alias("short"), _size(s, odd).alias("odd"))
-
-    out = df.withColumn("__plain", plain)
-    out = out.withColumn("__lines", F.transform(F.split(F.col("__plain"), r"\n"), line)).withColumn("words", F.coalesce(_size(t, WORD), F.lit(0)))
+        markup = s.rlike(r"[<>{}\\\\=]|&#?\w+;|\S{24}")
+        few = x["common"] * 5 <= n
+        short = (n <= 8) & few & ~heading & ~markup & ~s.rlike(r"[.!?…:;,\"”»]$") & (F.regexp_count(s, F.lit(r"\p{L}{2,}")) * 2 >= n)
+        brief = lambda parts: (F.size(parts) >= 4) & F.forall(parts, lambda c: F.length(c) <= 40)
+        run = ~stop & few & (brief(x["by_comma"]) | brief(F.split(s, r"; ")) | brief(F.split(s, r" [•·] ")))
+        item = (marked & (~stop | (n <= 4)) & (x["common"] * 4 <= n)) | short | run
+        bare = x["any"] * 12 <= n  # running text with next to no function word
+        kind = F.when(n == 0, "e").when(cells | pair, "c").when(item, "i").when(heading, "o").when(bare, "b").when(stop, "s").otherwise("o")
+        return F.struct(n.alias("n"), kind.alias("kind"), (n <= 8).alias("short"), x["odd"].alias("odd"), x["any"].alias("any"))
+
     lines = F.col("__lines")
-    total = F.aggregate(lines, F.lit(0), lambda a, x: a + x["n"])
+    out = computed_once(df, {"__plain": plain})
+    out = computed_once(out, {"__lines": F.transform(F.transform(F.transform(F.split(F.col("__plain"), r"\n"), measured), counted), told)})
+    out = out.withColumn("words", F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)))
+
+    def summed(of) -> Column:
+        return F.aggregate(lines, F.lit(0), lambda a, x: a + of(x))
 
     def share(of) -> Column:
-        return F.aggregate(lines, F.lit(0), lambda a, x: a + F.when(of(x), x["n"]).otherwise(0)) / F.col("__total")
+        return summed(lambda x: F.when(of(x), x["n"]).otherwise(0)) / F.col("__total")
 
-    out = out.withColumn("__total", F.when(total > 0, total)).withColumn("__tokens", F.regexp_extract_all(F.col("__plain"), F.lit(WORD), F.lit(0)))
-    visible = F.length(F.regexp_replace(F.col("__plain"), r"(?U)\s", ""))
-    visible = F.when(visible > 0, visible)
+    total = summed(lambda x: x["n"])
+    visible = F.regexp_count(F.col("__plain"), F.lit(r"(?U)\S"))
+    out = computed_once(out, {"__total": F.when(total > 0, total), "__visible": F.when(visible > 0, visible)})
+    total, visible = F.col("__total"), F.col("__visible")
     named = {
-        "mean_word_length": visible / F.col("__total"),
-        "symbol_share": _size(F.col("__plain"), r"[^\p{L}\p{M}\p{N}\s]") / visible,
-        "digit_share": _size(F.col("__plain"), r"\p{Nd}") / visible,
+        "mean_word_length": visible / total,
+        "symbol_share": F.regexp_count(F.col("__plain"), F.lit(r"[^\p{L}\p{M}\p{N}\s]")) / visible,
+        "digit_share": F.regexp_count(F.col("__plain"), F.lit(r"\p{Nd}")) / visible,
         "closed_share": share(lambda x: x["kind"] == "s"),
-        "common_share": _size(F.col("__plain"), any_common) / F.col("__total"),
+        "common_share": summed(lambda x: x["any"]) / total,
         "item_share": share(lambda x: x["kind"] == "i"),
         "cell_share": share(lambda x: x["kind"] == "c"),
-        "odd_share": F.aggregate(lines, F.lit(0), lambda a, x: a + F.when(x["kind"] != "c", x["odd"]).otherwise(0)) / F.col("__total"),
+        "odd_share": summed(lambda x: F.when(x["kind"] != "c", x["odd"]).otherwise(0)) / total,
         "bare_share": share(lambda x: x["kind"] == "b"),
-        "distinct_share": F.size(F.array_distinct("__tokens")) / F.col("__total"),
+        "distinct_share": F.size(F.array_distinct(F.filter(F.split(F.col("__plain"), r"(?U)\s+"), lambda w: w != ""))) / total,
         "short_share": share(lambda x: x["short"]),
     }
     matches = F.coalesce(F.col(word_count) == F.col("words"), F.lit(False)) if word_count and word_count in df.columns else F.lit(False)
-    return out.withColumns(named).withColumn("count_matches", matches).drop("__plain", "__lines", "__total", "__tokens")
+    return computed_once(out, named | {"count_matches": matches, "words": F.col("words")}).drop("__plain", "__lines", "__total", "__visible")
 
 
 @functools.lru_cache(maxsize=8)

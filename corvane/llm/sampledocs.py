@@ -157,7 +157,7 @@ def labelled_documents(n: int, seed: int = 11) -> list[tuple[str, str]]:
     out = []
     for _ in range(n):
         total = int(m.r.lognormvariate(4.3, 0.7)) + 12
-        kind = m.r.choices(("prose", "list", "table", "junk", "mixed"), (30, 17, 17, 17, 19))[0]
+        kind = m.r.choices(("prose", "list", "table", "junk", "mixed"), (25, 15, 15, 15, 30))[0]
         if kind != "mixed":
             text = getattr(m, kind)(total)
             if kind != "prose" and m.r.random() < 0.4:  # a sentence before
@@ -168,10 +168,10 @@ def labelled_documents(n: int, seed: int = 11) -> list[tuple[str, str]]:
                 text = f"== {m.name()} ==\n\n{text}"
         else:
             other = m.r.choice(("list", "table", "list", "table", "junk"))
-            share = m.r.choice((0.2, 0.3, 0.38, 0.62, 0.7, 0.8))
+            share = m.r.choice((0.2, 0.3, 0.38, 0.45, 0.55, 0.62, 0.7, 0.8))
             a, b = m.prose(max(5, int(total * (1 - share)))), getattr(m, other)(max(5, int(total * share)))
             own = len(b.split()) / (len(a.split()) + len(b.split()))
-            if 0.43 < own < 0.57:
+            if 0.48 < own < 0.52:
                 continue
             kind = other if own > 0.5 else "prose"
             text = "\n\n".join((a, b) if m.r.random() < 0.7 else (b, a))
