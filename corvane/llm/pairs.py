@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from corvane.session import cut, ship
+from corvane.session import computed_once, cut, ship
 
 ORDER = ("empty", "copy", "refusal", "language", "truncated")
 
@@ -99,20 +99,26 @@ def _is_refusal(out: Column) -> Column:
     return F.coalesce(F.lower(own).rlike("|".join(REFUSALS)), F.lit(False))
 
 
-def _count_of(words: Column, listed: list[str]) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(listed)))
+def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the language code of a text by its function words, or by script; null where it can't be told. Names (capitalised words inside) count for none."""
+    t = F.col(text)
+    plain = F.lower(F.regexp_replace(t, r"(?<=[\p{L}\p{N}/:,] )\p{Lu}[\p{L}:/'-]*", " "))
+    listed = {k: v.split() for k, v in FUNCTION_WORDS.items()}
+    # words of no list fall out first
+    every = sorted({w for v in listed.values() for w in v})
+    out_words = computed_once(df, {"__words": F.filter(F.split(plain, r"[^\p{L}]+"), lambda w: w.isin(every))})
+    counts = [F.size(F.filter("__words", _is_one_of(v))) for v in listed.values()]
+    scored = computed_once(out_words, {"__scores": F.array(*counts)})
+    scored = computed_once(scored, {"__sorted": F.sort_array("__scores", asc=False)})
+    letters, cyrillic = F.regexp_count(t, F.lit(r"\p{L}")), F.regexp_count(t, F.lit(r"\p{IsCyrillic}"))
+    best, second = F.element_at("__sorted", 1), F.element_at("__sorted", 2)
+    named = F.element_at(F.array(*map(F.lit, listed)), F.array_position("__scores", best).cast("int"))
+    code = F.when((cyrillic > 5) & (cyrillic * 4 > letters), F.lit("ru")).when((best >= 2) & (best > second), named)
+    return computed_once(scored, {out: code}).drop("__words", "__scores", "__sorted")
 
 
-def language(text: Column) -> Column:
-    """Language code of a text by its function words, or by script; null where it can't be told. Names (capitalised words inside) count for none."""
-    words = F.regexp_extract_all(F.regexp_replace(F.lower(F.regexp_replace(text, r"(?<=[\p{L}\p{N}/:,] )\p{Lu}[\p{L}:/'-]*", " ")), r"\bof\b", " "), F.lit(r"[\p{L}]+"), F.lit(0))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    cyrillic = F.length(F.regexp_replace(text, r"[^\p{IsCyrillic}]", ""))
-    score = {k: _count_of(words, v.split()) for k, v in FUNCTION_WORDS.items()}
-    best = F.greatest(*score.values())
-    second = F.element_at(F.sort_array(F.array(*score.values()), asc=False), 2)
-    named = F.coalesce(*[F.when(s == best, F.lit(k)) for k, s in score.items()])
-    return F.when((cyrillic > 5) & (cyrillic * 4 > letters), F.lit("ru")).when((best >= 2) & (best > second), named)
+def _is_one_of(listed: list[str]):
+    return lambda w: w.isin(listed)
 
 
 def _asks_for(question: Column, code: Column) -> Column:
@@ -335,10 +341,10 @@ def defective_pairs(df: DataFrame, key: str = "pair_id", instruction: str = "ins
     rows = df.select(F.col(key).alias("k"), F.col(instruction).alias("q"), extra.alias("i"), F.col(output).alias("o")).where("k is not null")
     q, o = F.col("q"), F.col("o")
     spoken, asked = F.col("spoken"), F.col("asked")
-    ruled = rows.withColumn("spoken", language(o)).withColumn("asked", language(q))
+    ruled = with_language(with_language(rows, "o", "spoken"), "q", "asked")
     other = F.coalesce((spoken != asked) & ~_asks_for(q, spoken), F.lit(False))
     rule = F.when(_is_empty(o), "empty").when(_is_copy(q, o), "copy").when(_is_refusal(o), "refusal").when(other, "language")
-    ruled = ruled.select("k", rule.alias("defect"))
+    ruled = computed_once(ruled, {"defect": rule}).select("k", "defect")
     found = ruled.where("defect is not null").unionByName(truncated(rows).select("k", F.lit("truncated").alias("defect")))
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("defect"))
     return found.groupBy("k").agg(F.min_by("defect", rank).alias("defect")).select(F.col("k").alias(key), "defect")
