@@ -80,8 +80,7 @@ def p8_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    prose = [read_table(spark, sf, "general_corpus"), kinds(read_table(spark, sf, "articles")).where("kind = 'prose'")]
-    return spam_pages(read_table(spark, sf, "documents"), prose)
+    return spam_pages(read_table(spark, sf, "documents"), [read_table(spark, sf, "general_corpus")])
 
 
 def queries() -> dict[str, Query]:

@@ -39,60 +39,85 @@ OFFER = set("sku cart stock sale sold buy price cheap discount shipping checkout
 URL = re.compile(r"(?:https?://|www\.)\S|^[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/|$|\?)|href=|\]\(|^<a$|</a>", re.I)
 STEM = re.compile(r"[^\W_]+")
 LINK = re.compile(r"\[\[[^\[\]\n]*\]\]")
+WORD = re.compile(r"\S+")
 MARKDOWN = re.compile(r"\[[^\[\]\n]*\]\([^()\s]*\)|<a\s[^<>]*>.*?</a>", re.S)
 LONG, SHORT, BLOCK = 40, 6, 24
 REPEAT_LEAST, REPEAT_SHARE = 5, 0.03
 SAMPLE, SEED = 1500, 5
+REMEMBER = 200_000
 HIGH_Z, LOW_Z, STEPS = 6.5, 6.5, 8
 
 
-def classes(text: str) -> tuple[list[list[int]], list[int]]:
-    """(class sequences of the pieces of a text, words in each piece)."""
-    # the words of a link belong to it, caption and all
-    lines = []
-    for raw in MARKDOWN.sub(lambda m: re.sub(r"\S+", "\x01", m.group()), LINK.sub(lambda m: re.sub(r"\S+", "\x02", m.group()), text)).split("\n"):
-        words = raw.split()
-        if words:
-            lines.append(words)
-    stems = Counter(s.lower().rstrip("s") for words in lines for w in words for s in STEM.findall(w) if not s.isdigit())
-    total = sum(map(len, lines))
-    least = max(REPEAT_LEAST, REPEAT_SHARE * total)
-    pieces: list[tuple[list[int], int]] = []
-    cur: list[int] = []
-    n = 0
-
-    def close() -> None:
-        nonlocal cur, n
+class Reader:
+    """Cuts texts into pieces and gives each word its class; remembers the words it has seen, up to ``REMEMBER``."""
+
+    def __init__(self):
+        self.seen: dict[str, tuple[int, str, int]] = {}
+
+    def word(self, w: str) -> tuple[int, str, int]:
+        """(class on its own, stem if it may be a repeated word, class that follows it or 0)."""
+        if len(self.seen) > REMEMBER:
+            self.seen.clear()
+        c = _class(w)
+        parts = STEM.findall(w)
+        stem = parts[0].lower().rstrip("s") if parts and c == AT["w"] else ""
+        last = w.rstrip("”\"»’')]")[-1:]
+        mark = AT["."] if last and last in ".!?…" and c != AT["U"] else AT[","] if last and last in ",;:" else 0
+        out = self.seen[w] = (c, stem, mark)
+        return out
+
+    def pieces(self, text: str) -> tuple[list[int], list[int], list[int]]:
+        """(classes of all pieces end to end, each opened by two starts; where each piece begins; words in each piece)."""
+        # the words of a link belong to it, caption and all
+        if "](" in text or "<a" in text:
+            text = MARKDOWN.sub(lambda m: WORD.sub("\x01", m.group()), text)
+        if "[[" in text:
+            text = LINK.sub(lambda m: WORD.sub("\x02", m.group()), text)
+        seen, word = self.seen, self.word
+        lines = [[seen.get(w) or word(w) for w in line.split()] for line in text.split("\n")]
+        stems = Counter([x[1] for line in lines for x in line])
+        least = max(REPEAT_LEAST, REPEAT_SHARE * sum(map(len, lines)))
+        often = {k for k, n in stems.items() if k and n >= least}
+        flat: list[int] = []
+        starts: list[int] = []
+        words: list[int] = []
+        n, was_short, stop, comma, end, repeated = 0, False, AT["."], AT[","], AT["B"], AT["R"]
+        for line in lines:
+            if not line:
+                continue
+            short = len(line) < SHORT
+            if n and not (short and was_short and n < BLOCK):
+                words.append(n)
+                n = 0
+            was_short = short
+            for c, stem, mark in line:
+                if not n:
+                    starts.append(len(flat))
+                    flat += (0, 0)
+                n += 1
+                flat.append(repeated if stem in often else c)
+                if mark == stop:
+                    flat.append(stop)
+                    if not short:
+                        words.append(n)
+                        n = 0
+                elif mark == comma:
+                    flat.append(comma)
+                if n >= LONG:
+                    words.append(n)
+                    n = 0
+            if n:
+                if short:
+                    flat.append(end)
+                else:
+                    words.append(n)
+                    n = 0
         if n:
-            pieces.append((cur, n))
-        cur, n = [], 0
-
-    for words in lines:
-        if n and not (n < BLOCK and len(words) < SHORT and short_line):
-            close()
-        short_line = len(words) < SHORT
-        for w in words:
-            n += 1
-            c = _class(w, stems, least)
-            cur.append(c)
-            last = w.rstrip("”\"»’')]")[-1:]
-            if last in ".!?…" and c != AT["U"]:
-                cur.append(AT["."])
-                if not short_line:
-                    close()
-            elif last and last in ",;:":
-                cur.append(AT[","])
-            if n >= LONG:
-                close()
-        if short_line and n:
-            cur.append(AT["B"])
-        else:
-            close()
-    close()
-    return [p for p, _ in pieces], [k for _, k in pieces]
-
-
-def _class(w: str, stems: Counter, least: float) -> int:
+            words.append(n)
+        return flat, starts, words
+
+
+def _class(w: str) -> int:
     if w[0] == "\x01" or URL.search(w):
         return AT["U"]
     if w[0] == "\x02":
@@ -107,20 +132,33 @@ def _class(w: str, stems: Counter, least: float) -> int:
         return AT["F"]
     if s in OFFER or w[0] in "$€£" or w[-1] in "$€£":
         return AT["O"]
-    if parts[0].isdigit():
-        return AT["N"]
-    if stems[s.rstrip("s")] >= least:
-        return AT["R"]
-    return AT["w"]
+    return AT["N"] if parts[0].isdigit() else AT["w"]
+
+
+def read(reader: Reader, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class trigrams of all texts, where each piece begins, words in each piece, text of each piece)."""
+    flat, starts, words, doc = [], [], [], []
+    for i, t in enumerate(texts):
+        if t:
+            f, s, w = reader.pieces(t)
+            base = len(flat)
+            flat += f
+            starts += [base + x for x in s]
+            words += w
+            doc += [i] * len(w)
+    x = np.array(flat, np.int64)
+    grams = x.copy()
+    if len(x) > 2:
+        grams[2:] += x[1:-1] * K + x[:-2] * K * K
+    starts = np.array(starts, np.int64)
+    real = np.ones(len(x), bool)
+    real[starts], real[starts + 1] = False, False
+    before = np.concatenate([[0], np.cumsum(real)])
+    return grams[real], before[starts], np.array(words, np.int64), np.array(doc, np.int64)
 
 
 def count_trigrams(texts: list[str]) -> np.ndarray:
-    counts = np.zeros(K**3, np.int64)
-    for t in texts:
-        for p in classes(t)[0]:
-            x = np.array([0, 0, *p])
-            np.add.at(counts, x[:-2] * K * K + x[1:-1] * K + x[2:], 1)
-    return counts
+    return np.bincount(read(Reader(), texts)[0], minlength=K**3)
 
 
 def ordinary_writing(n: int = SAMPLE, seed: int = SEED) -> list[str]:
@@ -156,20 +194,18 @@ class Model:
         self.mean = float((weight * self.bits).sum())
         self.spread = math.sqrt(float((weight * (self.bits - self.mean) ** 2).sum()))
 
-    def surprise(self, piece: list[int]) -> np.ndarray:
-        x = np.array([0, 0, *piece])
-        return self.bits[x[:-2] * K * K + x[1:-1] * K + x[2:]]
-
-    def abnormal(self, piece: list[int]) -> bool:
-        s = self.surprise(piece)
-        z = (float(s.mean()) - self.mean) * math.sqrt(min(len(s), STEPS)) / self.spread  # neighbours depend on each other: longer pieces tell no more than STEPS words
-        return z > HIGH_Z or z < -LOW_Z
-
-    def share(self, text: str) -> tuple[int, float]:
-        """(words, share of words in abnormal pieces)."""
-        pieces, words = classes(text)
-        total = sum(words)
-        return total, sum(n for p, n in zip(pieces, words) if self.abnormal(p)) / total if total else 0.0
+    def shares(self, reader: Reader, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, share of words in abnormal pieces) of each text."""
+        grams, starts, words, doc = read(reader, texts)
+        total, odd = np.zeros(len(texts)), np.zeros(len(texts))
+        if len(starts):
+            size = np.diff(np.append(starts, len(grams)))
+            mean = np.add.reduceat(self.bits[grams], starts) / size
+            # neighbours depend on each other: longer pieces tell no more than STEPS words
+            z = (mean - self.mean) * np.sqrt(np.minimum(size, STEPS)) / self.spread
+            np.add.at(total, doc, words)
+            np.add.at(odd, doc, words * ((z > HIGH_Z) | (z < -LOW_Z)))
+        return total.astype(np.int64), odd / np.maximum(total, 1)
 
 
 def train(prose: list[DataFrame], text: str = "text", n: int = SAMPLE, seed: int = SEED) -> Model:
@@ -177,8 +213,9 @@ def train(prose: list[DataFrame], text: str = "text", n: int = SAMPLE, seed: int
     counts = count_trigrams(ordinary_writing(n, seed)).astype(float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
         for b in batches:
-            c = count_trigrams([t for t in b.column(0).to_pylist() if t])
+            c = np.bincount(read(reader, b.column(0).to_pylist())[0], minlength=K**3)
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["gram", "n"])
 
@@ -200,10 +237,12 @@ def spam_shares(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, reader = shared.value, Reader()
         for b in batches:
-            got = [m.share(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.float64())], names=[key, "words", "spam_share"])
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                words, share = m.shares(reader, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int32()), pa.array(share, pa.float64())], names=[key, "words", "spam_share"])
 
     schema = T.StructType([docs.schema[key], T.StructField("words", T.IntegerType()), T.StructField("spam_share", T.DoubleType())])
     return docs.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, schema)
