@@ -11,29 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corvane.functions.text import shingles, word_count
+from corvane.functions.minhash import banded, shingled
 from corvane.session import cut
 
 BANDS, ROWS = 9, 13
-_MULTIPLIER, _STEP = 6364136223846793005, 1442695040888963407
-
-
-def shingled(df: DataFrame, key: str, text: str, n: int = 3, least_words: int = 10) -> DataFrame:
-    """(k, set): distinct shingles as 64-bit hashes, sorted; texts that are too short are left out."""
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(word_count(F.col("t")) >= least_words)
-    return rows.select("k", F.array_sort(F.array_distinct(F.transform(shingles(F.col("t"), n), lambda s: F.xxhash64(s)))).alias("set"))
-
-
-def signature(shingle_set, permutations: int):
-    """Min-hashes of a column of hash arrays: hash i of a shingle is its rehash with seed i."""
-    return F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda i: F.array_min(F.transform(shingle_set, lambda x: F.xxhash64(x, i))))
-
-
-def banded(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(k, band) with one row per band of a node's signature."""
-    sig = nodes.select("k", signature(F.col("set"), bands * rows).alias("sig"))
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(F.col("sig"), b * rows + 1, rows)))
-    return sig.select("k", F.explode(band).alias("band"))
+LEAST_WORDS = 10
 
 
 def jaccard(a, b):
@@ -47,7 +29,7 @@ def exact_pairs(df: DataFrame, key: str, text: str, similarity: float = 0.8, n:
     A set of size s shares at least ceil(similarity * s) shingles with any set as similar, so two similar sets meet
     within their first s - ceil(similarity * s) + 1 shingles in any common order; rarest first keeps the join small.
     """
-    classes = _classes(shingled(df, key, text, n))
+    classes = _classes(shingled(df, key, text, n, LEAST_WORDS))
     grams = classes.select("k", F.size("set").alias("size"), F.explode("set").alias("g"))
     counts = grams.groupBy("g").agg(F.count("*").alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", "g")))
@@ -100,7 +82,7 @@ def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def first_wins(df: DataFrame, key: str, text: str, similarity: float = 0.8, verify: bool = False, n: int = 3, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, duplicate_of): every row, with the earlier kept row it duplicates, or null where it stays. Rows too short to judge stay."""
-    sets = cut(shingled(df, key, text, n))
+    sets = cut(shingled(df, key, text, n, LEAST_WORDS))
     classes = _classes(sets)
     edges = candidate_pairs(classes, bands, rows)
     if verify:

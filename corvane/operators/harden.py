@@ -18,7 +18,7 @@ from corvane.operators.classify import classified, has, has_any
 from corvane.operators.cleaning import replace_all
 from corvane.operators.filters import first_reason, starts_with_any
 from corvane.operators.joined_words import FREQUENT_JOINED_WORDS, JOINED_WORDS
-from corvane.session import computed_once, ship
+from corvane.session import computed_once, ship, spread
 
 STAGES = ("pre_clean", "section_drops", "boilerplate_strip", "family_specific", "protect_identifiers", "word_boundary_repair", "edition_stutter", "tabular_row_drops", "inline_noise", "restore_identifiers", "final_cleanup", "dedup_repeated")
 LEAST_REPEATED = 200
@@ -265,7 +265,7 @@ def repaired(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def hardened(df: DataFrame, title: str = "title", categories: str = "categories", text: str = "text", words_column: str = "word_count") -> DataFrame:
     """Per row: route (main_corpus, qa_direct or dropped), reason, hard_text, hard_words and how it came about. Rows are repartitioned first, as texts differ much in length."""
     ship(df.sparkSession)
-    out = routed(df, title, categories, text, words_column)
+    out = routed(spread(df), title, categories, text, words_column)
     live = F.col("decision") != "drop"
     out = computed_once(out, {"__one": F.when(live, pre_clean(F.coalesce(F.col(text), F.lit(""))))})
     out = sections_dropped(out, "__one", title, categories, "__two")

@@ -56,3 +56,10 @@ def computed_once(df: DataFrame, named: dict[str, Column]) -> DataFrame:
     """
     keep = [c for c in df.columns if c not in named]
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in named.items()]))))
+
+
+def spread(df: DataFrame, mb_per_core: int = 2) -> DataFrame:
+    """df over all cores where the scan of a small input would leave most of them idle. Larger inputs come in enough splits and aren't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= mb_per_core * cores << 20 else df
