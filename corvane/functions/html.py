@@ -58,12 +58,14 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         ends = CLOSES.get(tag, ())
+        last = None
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth].tag in ends:
-                del self.open[depth:]
-                break
+                last = depth
             if self.open[depth].tag in ("table", "ul", "ol", "div"):
                 break
+        if last is not None:
+            del self.open[last:]
         n = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(n)
         if tag not in VOID:

@@ -54,7 +54,8 @@ def computed_once(df: DataFrame, named: dict[str, Column]) -> DataFrame:
     The optimizer copies a column's expression into every filter and expression above it; for costly ones that
     repeats the work many times over. A generator that yields one row is a step it doesn't copy through.
     """
-    keep = [c for c in df.columns if c not in named]
+    replaced = {k.lower() for k in named}
+    keep = [c for c in df.columns if c.lower() not in replaced]
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in named.items()]))))
 
 

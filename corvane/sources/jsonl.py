@@ -61,5 +61,5 @@ def replacement_rules(path: str) -> list[tuple[str, str]]:
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, lines) of each file."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).alias("lines"))

@@ -54,6 +54,8 @@ def fold_to(stream: DataFrame, path: str, checkpoint: str, seq: str = "event_seq
     """Keeps the folded exclusion state in ``path``: each batch is appended to the log beside it, and the state written anew from the log."""
 
     def step(batch: DataFrame, epoch: int) -> None:
+        if batch.isEmpty():
+            return
         log = f"{path}/log"
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(log)
         exclusion_state(batch.sparkSession.read.parquet(log).dropDuplicates([seq])).write.mode("overwrite").parquet(f"{path}/state")
