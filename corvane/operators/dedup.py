@@ -62,7 +62,7 @@ def candidate_pairs(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> D
 
 
 def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(k, kept_by): kept_by is null for kept nodes and the earliest kept neighbour for duplicates. edges are (a, b) with a < b."""
+    """(k, kept_by): kept_by is null for kept nodes and an earlier kept neighbour for duplicates. edges are (a, b) with a < b."""
     edges = cut(edges.select("a", "b"))
     decided = None
     while not edges.isEmpty():
@@ -75,6 +75,31 @@ def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         gone = hit.select("k")
         edges = edges.join(gone.withColumnRenamed("k", "b"), "b", "left_anti").join(gone.withColumnRenamed("k", "a"), "a", "left_anti")
         edges = cut(edges.join(roots.withColumnRenamed("k", "a"), "a", "left_anti"))
+    return _with_decided(nodes, decided)
+
+
+def resolve_bands(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """resolve() for the graph in which nodes of one band are neighbours, without listing pairs.
+
+    In each round a node that comes first in all its bands stays, and whatever shares a band with it is its
+    duplicate. A band of a third of all nodes costs as many rows, not their square.
+    """
+    shared = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    keys = cut(keys.join(shared, "band", "left_semi"))
+    decided = None
+    while not keys.isEmpty():
+        first = keys.groupBy("band").agg(F.min("k").alias("first"))
+        placed = keys.join(first, "band")
+        roots = placed.groupBy("k").agg(F.bool_and(F.col("k") == F.col("first")).alias("all")).where("all").select("k")
+        led = placed.join(roots.withColumnRenamed("k", "first"), "first", "left_semi")
+        hit = cut(led.groupBy("k").agg(F.min("first").alias("root")))  # roots lead themselves
+        gone = hit.where("k <> root").select("k", F.col("root").alias("kept_by"))
+        decided = gone if decided is None else decided.unionByName(gone)
+        keys = cut(keys.join(hit.select("k"), "k", "left_anti"))
+    return _with_decided(nodes, decided)
+
+
+def _with_decided(nodes: DataFrame, decided: DataFrame | None) -> DataFrame:
     if decided is None:
         return nodes.select("k").withColumn("kept_by", F.lit(None).cast(nodes.schema["k"].dataType))
     return nodes.select("k").join(decided, "k", "left")
@@ -84,10 +109,10 @@ def first_wins(df: DataFrame, key: str, text: str, similarity: float = 0.8, veri
     """(key, duplicate_of): every row, with the earlier kept row it duplicates, or null where it stays. Rows too short to judge stay."""
     sets = cut(shingled(df, key, text, n, LEAST_WORDS))
     classes = _classes(sets)
-    edges = candidate_pairs(classes, bands, rows)
     if verify:
-        edges = _checked(edges, classes, similarity)
-    nodes = resolve(classes, edges)
+        nodes = resolve(classes, _checked(candidate_pairs(classes, bands, rows), classes, similarity))
+    else:
+        nodes = resolve_bands(classes, banded(classes, bands, rows))
     # copies follow their class: its first row stays or falls with it, the rest duplicate what stays
     member = sets.join(classes.select("set", F.col("k").alias("head")), "set").select("k", "head").join(nodes.select(F.col("k").alias("head"), "kept_by"), "head")
     of = F.coalesce("kept_by", F.when(F.col("k") != F.col("head"), F.col("head")))

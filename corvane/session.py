@@ -10,14 +10,19 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+ARROW_BYTES = 16 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable on every executor, once per application.
+    """Make this package importable on every executor, once per application, and bound the size of Arrow batches.
 
-    The zip is served by the driver, so executors need no shared folder for it.
+    The zip is served by the driver, so executors need no shared folder for it. Batches are bounded by bytes, since
+    ten thousand long texts would be too much for a Python worker.
     """
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "2147483647")
+    if not size.isdigit() or int(size) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
