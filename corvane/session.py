@@ -67,5 +67,6 @@ def computed_once(df: DataFrame, named: dict[str, Column]) -> DataFrame:
 def spread(df: DataFrame, mb_per_core: int = 2) -> DataFrame:
     """df over all cores where the scan of a small input would leave most of them idle. Larger inputs come in enough splits and aren't moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))  # files as they lie, before columns are pruned
     return df.repartition(cores) if size <= mb_per_core * cores << 20 else df
