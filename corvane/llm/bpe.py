@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from corvane.session import ship
+from corvane.session import ship, spread
 
 # Fixed value: the public vocabulary's pattern that splits text into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -161,4 +161,4 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
                 at = to
 
     schema = T.StructType([df.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, schema)

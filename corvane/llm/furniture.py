@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corvane.llm.codepoints import FEED, canonical, decode, encode
-from corvane.session import ship
+from corvane.session import ship, spread
 
 DEPTH = 3
 MIN_WORDS, MIN_DOCUMENTS, MIN_SHARE = 4, 4, 0.05
@@ -100,12 +100,11 @@ def repeated_lines(
     min_words: int = MIN_WORDS, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, depth: int = DEPTH,
 ) -> DataFrame:
     """(key, line_no): lines whose template covers enough documents of their source. An array source counts by its first entry."""
-    spark = ship(df.sparkSession)
+    ship(df.sparkSession)
     is_array = isinstance(df.schema[source].dataType, T.ArrayType)
     first = F.get(source, F.lit(0)) if is_array else F.col(source)
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), first.cast("string").alias("s")).where("k is not null and s is not null")
-    texts = rows.where("t is not null and t <> ''")
-    del spark
+    texts = spread(rows.where("t is not null and t <> ''"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, TokenTree] = {}

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from corvane.session import ship
+from corvane.session import ship, spread
 
 WORDS = re.compile(r"[^\W_]+").findall
 MIN_WORDS = 12
@@ -147,7 +147,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "i
                         ], names=names)
                     at = to
 
-        out = out.unionByName(docs.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()).mapInArrow(run, schema))
+        out = out.unionByName(spread(docs.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())).mapInArrow(run, schema))
     # rows come one per delivered row; a document delivered twice is listed once
     best = F.max_by(F.struct("words", "doc_word", "item_word"), F.struct("words", -F.col("doc_word"), -F.col("item_word")))
     return out.groupBy(key, item).agg(best.alias("m")).select(key, item, "m.words", "m.doc_word", "m.item_word")

@@ -16,19 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corvane.llm.codepoints import canonical_column
-from corvane.session import cut, ship
+from corvane.session import cut, ship, spread
 
 FORM = "canonical_form"
 
 
-def _free(df: DataFrame, name: str) -> str:
-    """A column name that doesn't clash with df's."""
-    used = {c.lower() for c in df.columns}
-    while name.lower() in used:
-        name += "_"
-    return name
-
-
 def canonical_text(df: DataFrame, text: str = "text", out: str | None = None) -> DataFrame:
     """df with the consistent form of ``text`` in ``out`` (default: in place of ``text``). One pass, no shuffle."""
     ship(df.sparkSession)
@@ -52,7 +44,7 @@ def lookalike_pairs(df: DataFrame, key: str = "seq", text: str = "text") -> Data
     aggregation that combines before its shuffle, so copies of one string, however many, meet no join. The join is
     left to skew handling at run time: its output is the listing itself.
     """
-    rows = canonical_text(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull()), "t", FORM)
+    rows = canonical_text(spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull())), "t", FORM)
     digests = cut(rows.where(F.length(F.trim(F.regexp_replace(FORM, "\n", ""))) > 0).select(
         "k", F.unhex(F.md5(FORM)).alias("form"), F.unhex(F.md5("t")).alias("raw")
     ).distinct())  # texts are read once

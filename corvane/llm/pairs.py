@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from corvane.session import computed_once, cut, ship
+from corvane.session import computed_once, cut, ship, spread
 
 ORDER = ("empty", "copy", "refusal", "language", "truncated")
 
@@ -339,6 +339,7 @@ def defective_pairs(df: DataFrame, key: str = "pair_id", instruction: str = "ins
     ship(df.sparkSession)
     extra = F.col(context).cast("string") if context else F.lit(None).cast("string")
     rows = df.select(F.col(key).alias("k"), F.col(instruction).alias("q"), extra.alias("i"), F.col(output).alias("o")).where("k is not null")
+    rows = spread(rows)
     q, o = F.col("q"), F.col("o")
     spoken, asked = F.col("spoken"), F.col("asked")
     ruled = with_language(with_language(rows, "o", "spoken"), "q", "asked")

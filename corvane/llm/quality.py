@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corvane.llm.pairs import FUNCTION_WORDS
 from corvane.llm.rulelist import RuleList, induce
 from corvane.llm.sampledocs import labelled_documents
-from corvane.session import computed_once
+from corvane.session import computed_once, spread
 
 TRAINING = 4000
 SEED = 11
@@ -131,4 +131,4 @@ def learned_rules(spark: SparkSession, n: int = TRAINING, seed: int = SEED) -> R
 def kinds(df: DataFrame, text: str = "text", word_count: str | None = "word_count", min_words: int = 10, rules: RuleList | None = None) -> DataFrame:
     """df with figures() and the kind of each text."""
     rules = rules or learned_rules(df.sparkSession)
-    return figures(df, text, word_count).withColumn("kind", F.when(F.col("words") >= min_words, F.expr(rules.sql())))
+    return figures(spread(df), text, word_count).withColumn("kind", F.when(F.col("words") >= min_words, F.expr(rules.sql())))

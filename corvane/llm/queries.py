@@ -87,5 +87,17 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
 
+_WORD = r"[^\s\x{0b}\x{85}\x{1c}-\x{1f}\p{Z}]+"
+SQL = {
+    "p5_found": f"""WITH w AS (SELECT seq, regexp_extract_all(lower(text), '{_WORD}') AS w FROM articles WHERE text IS NOT NULL),
+s AS (SELECT seq, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 10),
+g AS (SELECT seq, len(s) AS n, unnest(s) AS g FROM s), p AS (SELECT a.seq AS seq_a, b.seq AS seq_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM g a JOIN g b ON a.g = b.g AND a.seq < b.seq GROUP BY 1, 2)
+SELECT seq_a, seq_b FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.7""",
+    "p8_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12), ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from corvane.llm.pairs import FUNCTION_WORDS
 from corvane.llm.quality import MORE_WORDS
 from corvane.llm.sampledocs import Maker
-from corvane.session import ship
+from corvane.session import ship, spread
 
 CLASSES = "^FNwRULTSO,.B"  # start, function, number, other word, repeated, URL, wiki link, tag, separator, offer, comma, stop, line end
 AT = {c: i for i, c in enumerate(CLASSES)}
@@ -222,7 +222,7 @@ def train(prose: list[DataFrame], text: str = "text", n: int = SAMPLE, seed: int
     total = counts.sum()
     for df in prose:
         ship(df.sparkSession)
-        grams = df.select(F.col(text).cast("string")).mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most K cubed rows
+        grams = spread(df.select(F.col(text).cast("string"))).mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most K cubed rows
         seen = np.zeros(K**3)
         for g in grams:
             seen[g.gram] = g.n
@@ -245,7 +245,7 @@ def spam_shares(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int32()), pa.array(share, pa.float64())], names=[key, "words", "spam_share"])
 
     schema = T.StructType([docs.schema[key], T.StructField("words", T.IntegerType()), T.StructField("spam_share", T.DoubleType())])
-    return docs.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, schema)
+    return spread(docs.select(key, text).where(F.col(text).isNotNull())).mapInArrow(run, schema)
 
 
 def spam_pages(docs: DataFrame, prose: list[DataFrame], key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:

@@ -2,6 +2,7 @@ import re
 from pathlib import Path
 
 import pytest
+from compare import duck_rows, spark_rows
 
 from corvane.llm import queries
 
@@ -20,6 +21,12 @@ def test_runs_without_repeats(spark, data, name):
         assert df.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, data, name):
+    columns, rows = spark_rows(queries.queries()[name](spark, data))
+    assert (columns, rows) == duck_rows(queries.oracle_sql()[name], data)
+
+
 def test_nothing_outside_imports_the_subpackage():
     for p in (ROOT / "corvane").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
