@@ -218,6 +218,17 @@ def posts(df: DataFrame, html: str, out: str = "post") -> DataFrame:
     return computed_once(df, {out: _post(F.col(html))})
 
 
+def class_counts(df: DataFrame, html: str) -> DataFrame:
+    """(class, n): how often an element carries each class."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def names(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: [c for n in parse(h).walk() for c in n.attrs.get("class", "").split()] if isinstance(h, str) else [])
+
+    ship(df.sparkSession)
+    return df.select(F.explode(names(F.col(html))).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+
+
 def sentences_of(rows: Column) -> Column:
     """Table rows as sentences, native: header row and cells zipped."""
     head = F.get(rows, F.lit(0))

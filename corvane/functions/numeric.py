@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from corvane.session import computed_once
 
 
 def learning_rate(step: Column, warmup: int, total: int, peak: float) -> Column:
@@ -26,15 +28,16 @@ def top_k(logits: Column, k: int) -> Column:
     return F.transform(logits, lambda x: F.when(x >= least, x))
 
 
-def top_p(probabilities: Column, p: float) -> Column:
-    """The smallest set of most likely entries that reaches p, renormalised; the others become 0."""
-    ranked = F.sort_array(probabilities, asc=False)
-    # probability mass before each rank
-    before = F.transform(ranked, lambda x, i: F.aggregate(F.slice(ranked, 1, i), F.lit(0.0), lambda a, y: a + y))
-    kept = F.filter(F.arrays_zip(ranked.alias("q"), before.alias("b")), lambda z: z["b"] <= p)
-    least = F.array_min(F.transform(kept, lambda z: z["q"]))
-    total = F.aggregate(F.transform(kept, lambda z: z["q"]), F.lit(0.0), lambda a, y: a + y)
-    return F.transform(probabilities, lambda x: F.when(x >= least, x / total).otherwise(F.lit(0.0)))
+def with_top_p(df: DataFrame, probabilities: str, p: float, out: str) -> DataFrame:
+    """df with the smallest set of most likely entries that reaches p, renormalised, the others 0. Arrays are columns of their own, so each is computed once."""
+    steps = computed_once(df, {"__ranked": F.sort_array(probabilities, asc=False)})
+    ranked = F.col("__ranked")
+    before = F.transform(ranked, lambda x, i: F.aggregate(F.slice(ranked, 1, i), F.lit(0.0), lambda a, y: a + y))  # mass ahead of each rank
+    steps = computed_once(steps, {"__n": F.size(F.filter(before, lambda b: b <= p))})
+    steps = computed_once(steps, {"__kept": F.slice("__ranked", F.lit(1), F.col("__n"))})
+    steps = computed_once(steps, {"__least": F.array_min("__kept"), "__total": F.aggregate("__kept", F.lit(0.0), lambda a, y: a + y)})
+    scaled = F.transform(probabilities, lambda x: F.when(x >= F.col("__least"), x / F.col("__total")).otherwise(F.lit(0.0)))
+    return computed_once(steps, {out: scaled}).drop("__ranked", "__n", "__kept", "__least", "__total")
 
 
 def argmax(values: Column) -> Column:

@@ -58,7 +58,7 @@ def rollup(df: DataFrame) -> DataFrame:
 
 
 def listing(cat: DataFrame, group: str | None = None, tier_name: str | None = None, query: str | None = None, sort: str = "alpha", offset: int = 0, limit: int = 200) -> DataFrame:
-    """A page of titles in a group or lens; sorts are alpha, wc, date_asc and date_desc. The limit is the page."""
+    """A page of titles in a group or lens; sorts are alpha, wc, date_asc, date_desc and, where the catalogue has a column delta, delta. The limit is the page."""
     rows = cat.where(F.col("tier") != "<10")
     if group is not None:
         rows = rows.where((F.col("group") == group) | F.array_contains("also_in", group))
@@ -71,8 +71,9 @@ def listing(cat: DataFrame, group: str | None = None, tier_name: str | None = No
         "wc": [F.desc("word_count"), F.col("title")],
         "date_asc": [F.asc_nulls_last("stamp"), F.lower("title"), F.col("title")],
         "date_desc": [F.desc_nulls_last("stamp"), F.desc(F.lower("title")), F.col("title")],
+        "delta": [F.desc("delta"), F.col("title")],
     }[sort]
-    page = rows.select("title", "word_count", "tier", "group", "stamp").orderBy(*by)
+    page = rows.select("title", "word_count", "tier", "group", "stamp", *(["delta"] if "delta" in cat.columns else [])).orderBy(*by)
     return (page.offset(offset) if offset else page).limit(limit)
 
 

@@ -51,6 +51,26 @@ def exclusion_state(log: DataFrame, seq: str = "event_seq", title: str = "title"
     return joined.select("title", "lens", *flags, last["ts"].alias("last_ts"), last["reason"].alias("last_reason"))
 
 
+ACTIONS = tuple(f"{v}_{w}" for v in ("exclude", "include") for w in ("transform", "qa", "both"))
+SCOPES = ("this_lens", "all_lenses")
+
+
+def validated(log: DataFrame, title: str = "title", scope: str = "excl_scope", action: str = "excl_action", lens: str = "bucket_lens") -> DataFrame:
+    """log with problem: what is wrong with an event before it may be appended, or null."""
+    problem = (
+        F.when(F.coalesce(F.trim(title), F.lit("")) == "", "no title").when(~F.coalesce(F.col(action).isin(list(ACTIONS)), F.lit(False)), "unknown action")
+        .when(~F.coalesce(F.col(scope).isin(list(SCOPES)), F.lit(False)), "unknown scope").when((F.col(scope) == "this_lens") & (F.coalesce(F.trim(lens), F.lit("")) == ""), "no lens")
+    )
+    return log.withColumn("problem", problem)
+
+
+def spread_of(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, least, most, middle): the middle is the upper median, sorted[n // 2]; by rank, not by collecting a group."""
+    ranked = df.where(F.col(value).isNotNull()).withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(value)) - 1)
+    n = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return ranked.join(n, key).where(F.col("place") == F.floor(F.col("n") / 2)).select(key, "least", "most", F.col(value).alias("middle"))
+
+
 def history(log: DataFrame, title: str, column: str = "title", seq: str = "event_seq") -> DataFrame:
     return log.where(F.col(column) == title).orderBy(seq)
 

@@ -77,3 +77,10 @@ def with_removed(pages: DataFrame, removed: DataFrame, key: str) -> DataFrame:
 def ranked(df: DataFrame, groups: list[str], by: list[Column], n: int) -> DataFrame:
     """The first n rows of each group; the rank's bound cuts inside each task before the shuffle."""
     return df.withColumn("__rank", F.row_number().over(W.partitionBy(*groups).orderBy(*by))).where(F.col("__rank") <= n).drop("__rank")
+
+
+def without_parent_lenses(members: DataFrame, key: str, lens: str, parents: dict[str, tuple[str, ...]]) -> DataFrame:
+    """members (key, lens) without those a narrower lens of the same key implies. The table of parents is a literal."""
+    table = F.create_map(*[x for k, v in parents.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    up = members.select(F.col(key), F.explode(F.try_element_at(table, F.col(lens))).alias(lens)).distinct()
+    return members.join(up, [key, lens], "left_anti")

@@ -12,7 +12,7 @@ from corvane.operators.filters import article_reason
 from corvane.plans import sql as S
 from corvane.plans.corpus import CLASSIFIED, REASON, TIER, T0, W0
 from corvane.plans.registry import query
-from corvane.session import read_table, ship
+from corvane.session import computed_once, read_table, ship
 from corvane.streaming import logs
 
 
@@ -529,3 +529,103 @@ def most_common(spark, sf):
     return w.groupBy("title").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "title").limit(50)
 
 
+
+
+# ---- more of the catalogue, sources and sinks ----
+
+
+@query(f"""SELECT coalesce(CASE WHEN coalesce(trim(title), '') = '' THEN 'no title' WHEN NOT coalesce(excl_action IN {S.tup(events.ACTIONS)}, false) THEN 'unknown action'
+WHEN NOT coalesce(excl_scope IN {S.tup(events.SCOPES)}, false) THEN 'unknown scope' WHEN excl_scope = 'this_lens' AND coalesce(trim(bucket_lens), '') = '' THEN 'no lens' END, 'fine') AS problem, count(*) AS n FROM exclusion_log GROUP BY 1""")
+def event_problems(spark, sf):
+    return events.validated(log(spark, sf)).groupBy(F.coalesce("problem", F.lit("fine")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, min(value) AS least, max(value) AS most, list_sort(list(value))[count(value) // 2 + 1] AS middle FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def value_spread(spark, sf):
+    return events.spread_of(event_table(spark, sf), "event_type", "value")
+
+
+_parent_case = "CASE lens " + " ".join(f"WHEN {S.q(k)} THEN {S.ql(v)}" for k, v in R.PARENTS.items()) + " END"
+
+
+@query(f"""WITH m AS (SELECT DISTINCT seq, unnest(categories) AS lens FROM articles), u AS (SELECT DISTINCT seq, unnest({_parent_case}) AS lens FROM m)
+SELECT lens, count(*) AS n FROM m WHERE lens IS NOT NULL AND NOT EXISTS (SELECT 1 FROM u WHERE u.seq = m.seq AND u.lens = m.lens) GROUP BY lens""")
+def lenses_without_parents(spark, sf):
+    members = articles(spark, sf).select("seq", F.explode("categories").alias("lens")).where("lens is not null").distinct()
+    return joins.without_parent_lenses(members, "seq", "lens", R.PARENTS).groupBy("lens").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT '[' || left(source, 3) || '] ' || title AS title, coalesce(n_chars, 0) AS word_count, coalesce(CASE WHEN doc_id % 3 = 0 THEN fetched_at::DATE END, CASE WHEN doc_id % 3 = 1 THEN DATE '2009-05-22' END, fetched_at::DATE) AS stamp FROM documents WHERE title IS NOT NULL AND source IS NOT NULL""")
+def external_entries(spark, sf):
+    d = documents(spark, sf).where("title is not null and source is not null")
+    ext = d.select("title", F.substring("source", 1, 3).alias("prefix"), F.col("n_chars").cast("int").alias("word_count"), "source", F.when(F.col("doc_id") % 3 == 0, F.col("fetched_at")).alias("post_date"), F.when(F.col("doc_id") % 3 == 1, F.lit("20090522101010")).alias("snapshot"), F.col("fetched_at").alias("scraped_at"))
+    return catalog.catalogue(articles(spark, sf), external=ext).where("source = 'external'").select("title", F.col("word_count").cast("long").alias("word_count"), "stamp")
+
+
+@query(f"""WITH {LENSES}, c AS (SELECT title, max_by(word_count, seq) AS n FROM (SELECT title, seq, coalesce(word_count, 0) AS word_count FROM articles_cleaned) WHERE title IS NOT NULL GROUP BY title)
+SELECT title, abs({W0} - coalesce(n, 0)) AS delta FROM classified LEFT JOIN c USING (title) WHERE {TIER} <> '<10' ORDER BY delta DESC, title LIMIT 40""")
+def listing_most_changed(spark, sf):
+    clean = joins.last_wins(cleaned(spark, sf).select("title", "seq", F.coalesce("word_count", F.lit(0)).alias("n")), "title", "seq")
+    cat = _catalogue(spark, sf).join(clean.select("title", "n"), "title", "left").withColumn("delta", F.abs(F.col("word_count") - F.coalesce("n", F.lit(0))))
+    return catalog.listing(cat, sort="delta", limit=40).select("title", "delta")
+
+
+@query(f"SELECT count(*) AS n FROM general_corpus WHERE length(trim(text)) >= 50")
+def hub_rows(spark, sf):
+    from corvane.sources.jsonl import capped
+
+    return capped(general(spark, sf), "text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT seq, title, array_to_string(categories, '|') AS categories, word_count FROM articles")
+def json_round_trip(spark, sf):
+    """The table written as JSON lines and read again with its schema, every line strictly."""
+    import uuid
+
+    from corvane.session import shared_dir
+    from corvane.sources.jsonl import read_strict
+    from corvane.sources.sinks import overwrite
+
+    df = articles(spark, sf).select("seq", "title", "categories", "word_count")
+    path = f"{shared_dir(spark)}/corvane-json-{uuid.uuid4().hex[:8]}"
+    overwrite(df, path)
+    return read_strict(spark, path, df.schema).select("seq", "title", F.array_join("categories", "|").alias("categories"), "word_count")
+
+
+@query(f"SELECT coalesce({REASON}, 'keep') AS route, count(*) AS n FROM articles GROUP BY 1")
+def routed_sink(spark, sf):
+    """Rows written by route in one pass and counted as they lie."""
+    import uuid
+
+    from corvane.session import shared_dir
+    from corvane.sources.sinks import routed
+
+    df = articles(spark, sf).select("seq", "title", "text", F.coalesce(article_reason(F.col("title"), F.col("text"), F.col("word_count")), F.lit("keep")).alias("route"))
+    path = f"{shared_dir(spark)}/corvane-routes-{uuid.uuid4().hex[:8]}"
+    routed(df, "route", path)
+    return spark.read.parquet(path).groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query()
+def html_classes(spark, sf):
+    from corvane.functions.html import class_counts
+
+    markup = F.concat(F.lit('<div class="page '), F.coalesce("source", F.lit("none")), F.lit('"><p class=text>'), F.coalesce("text", F.lit("")))
+    return class_counts(documents(spark, sf).select(markup.alias("h")), "h")
+
+
+@query()
+def slug_titles(spark, sf):
+    from corvane.functions.text import slug_title
+
+    ship(spark)
+    return articles(spark, sf).select("seq", slug_title(F.replace(F.lower("title"), F.lit(" "), F.lit("-"))).alias("title"))
+
+
+@query(f"""WITH p AS (SELECT vec_id, list_transform(z, lambda x: x / list_sum(z)) AS p FROM (SELECT vec_id, list_transform(e, lambda x: exp((x - list_max(e)) / 0.05)) AS z FROM (SELECT vec_id, {_e} AS e FROM embeddings))),
+r AS (SELECT vec_id, list_sort(p, 'DESC') AS r FROM p)
+SELECT vec_id, len(list_filter(range(len(r)), lambda i: coalesce(list_sum(r[1:i]), 0.0) <= 0.9))::BIGINT AS kept FROM r""")
+def nucleus(spark, sf):
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    p = computed_once(computed_once(embeddings(spark, sf), {"e": e}).select("vec_id", "e"), {"p": N.softmax(F.col("e"), 0.05)})
+    return N.with_top_p(p, "p", 0.9, "q").select("vec_id", F.size(F.filter("q", lambda x: x > 0)).cast("long").alias("kept"))
