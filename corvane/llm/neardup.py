@@ -23,66 +23,30 @@ than once counts once per different text and never pairs with itself; rows with
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from corvane.session import cut, ship
+from corvane.functions.minhash import band_keys, mixed, shingle_sets, signatures
+from corvane.session import cut, ship, spread
 
 SEGMENTS, ROWS, BITS = 28, 3, 128
 MAX_DIFFERENCES = 38
 BLOCK = 1024
 FANOUT = 4
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-
-def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """n fixed hash functions: odd multipliers and offsets from a fixed seed."""
-    rng = np.random.default_rng(20240301)
-    return rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
-
-
-def _finish(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def shingle_sets(texts: list[str | None], words: int, least: int) -> list[np.ndarray | None]:
-    """Sorted distinct 64-bit hashes of the runs of ``words`` words of each text; None for texts too short."""
-    parts = [t.lower().split() if t else [] for t in texts]
-    size = np.array([len(p) for p in parts], np.int64)
-    flat = np.array([w for p in parts for w in p] or [""], dtype=object)
-    h = pd.util.hash_array(flat, categorize=True)
-    n = len(h) - words + 1
-    runs = np.zeros(max(n, 0), np.uint64)
-    for k in range(words):
-        runs = _finish(runs * _MIX[1] + h[k : k + len(runs)] * _MIX[0] + np.uint64(k + 1))
-    out, at = [], 0
-    for s in size.tolist():
-        out.append(np.unique(runs[at : at + s - words + 1]) if s >= max(least, words) else None)
-        at += s
-    return out
-
-
-def fingerprint(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(segments as int64 (n, SEGMENTS), sketches as uint64 (n, BITS / 64))."""
-    k = max(SEGMENTS * ROWS, BITS)
-    mul, add = _family(k)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1].astype(np.int64)
-    flat = np.concatenate(sets)
-    low = np.empty((k, len(sets)), np.uint64)
-    for i in range(k):
-        low[i] = np.minimum.reduceat(_finish(flat * mul[i] + add[i]), starts)
-    seg = np.zeros((SEGMENTS, len(sets)), np.uint64)
-    for r in range(ROWS):
-        seg = _finish(seg * _MIX[2] + low[r * SEGMENTS : (r + 1) * SEGMENTS])
-    bits = (_finish(low[:BITS] * _MIX[0]) >> np.uint64(63)).astype(np.uint8)
+PART, PAIRS, SEED = 1000, 1_000_000, 20240301
+SKETCH = [f"w{i}" for i in range(BITS // 64)]
+
+
+def fingerprint(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segments as int64 (n, SEGMENTS), sketches as uint64 (n, BITS / 64)) of the sets that lie end to end in values. A segment's number is part of its key, so one table holds all rotations."""
+    low = signatures(values, starts, max(SEGMENTS * ROWS, BITS), SEED)
+    bits = (mixed(low[:BITS] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8)
     sketch = np.packbits(bits.T.copy(), axis=1).view(">u8").astype(np.uint64)
-    return seg.T.view(np.int64), sketch
+    return band_keys(low, SEGMENTS, ROWS).view(np.int64), sketch
 
 
 def gray_order(group: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -143,53 +107,46 @@ def close_pairs(group: np.ndarray, sketch: np.ndarray, limit: int = MAX_DIFFEREN
     return i, j
 
 
-def _free_schema(key: T.StructField) -> T.StructType:
-    return T.StructType([T.StructField("k", key.dataType), T.StructField("cls", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
-
+def indexed(df: DataFrame, key: str, text: str, words: int, min_words: int) -> DataFrame:
+    """(k, cls, leads, w0.., shingles): key, digest of the shingle set, leading segments, sketch and the set itself; short texts are left out. One pass over the texts."""
+    ship(df.sparkSession)
+    names = ["k", "cls", "leads", *SKETCH, "shingles"]
 
-def shingled(df: DataFrame, key: str, text: str, words: int, min_words: int) -> DataFrame:
-    """(k, cls, shingles): key, digest of the shingle set, and the set; short texts are left out."""
-    import hashlib
+    def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, PART):
+                part = b.slice(at, PART)
                 sets = shingle_sets(part.column(1).to_pylist(), words, min_words)
                 on = [i for i, s in enumerate(sets) if s is not None]
+                if not on:
+                    continue
                 kept = [sets[i] for i in on]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
-                flat = (np.concatenate(kept) if kept else np.zeros(0, np.uint64)).view(np.int64)
+                sizes = np.array([len(s) for s in kept])
+                values = np.concatenate(kept)
+                seg, sketch = fingerprint(values, np.cumsum(sizes) - sizes)
+                cls = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in kept], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(on, pa.int64())), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in kept], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    names=["k", "cls", "shingles"],
+                    [part.column(0).take(pa.array(on, pa.int64())), cls, lists(seg.ravel(), np.full(len(on), SEGMENTS)), *(pa.array(sketch[:, w].copy().view(np.int64)) for w in range(len(SKETCH))), lists(values, sizes)], names=names
                 )
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").mapInArrow(run, _free_schema(df.schema[key]))
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("k", df.schema[key].dataType), T.StructField("cls", T.BinaryType()), T.StructField("leads", longs), *(T.StructField(w, T.LongType()) for w in SKETCH), T.StructField("shingles", longs)])
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+    return spread(rows).mapInArrow(run, schema)
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): ids of classes (cls, shingles) that the Gray-order index leaves as possibly similar, a < b."""
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                lists = part.column(1)
-                values, offsets = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-                seg, sketch = fingerprint([values[x:y] for x, y in zip(offsets[:-1], offsets[1:])])
-                n = part.num_rows
-                row = np.repeat(np.arange(n), SEGMENTS)
-                # the segment's number is mixed into the key, so one table holds all rotations
-                lead = seg.ravel() + np.tile(np.arange(SEGMENTS, dtype=np.int64), n)
-                arrays = [pa.array(lead), part.column(0).take(pa.array(row))]
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(sketch[row, w].view(np.int64)) for w in range(BITS // 64))], names=["lead", "cls", *(f"w{w}" for w in range(BITS // 64))])
-
-    words = [f"w{w}" for w in range(BITS // 64)]
-    rows = classes.mapInArrow(index, "lead bigint, cls binary, " + ", ".join(f"{w} bigint" for w in words))
+def candidate_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): ids of classes that the Gray-order index leaves as possibly similar, a < b. prints has one row (cls, leads, sketch) per class."""
+    words = SKETCH
+    # only ids go through the search for shared leading segments; sketches join the few rows that are left
+    rows = prints.select("cls", F.explode("leads").alias("lead"))
     sizes = rows.groupBy("lead").count().where("count > 1")
+    rows = rows.join(sizes, "lead").join(prints.select("cls", *words), "cls")
     parts = F.ceil(F.col("count") / BLOCK).cast("int")
-    rows = rows.join(sizes, "lead").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     # block pairs (x <= y) that this row takes part in; one for all but hot groups
     other = F.sequence(F.lit(0), F.col("parts") - 1)
     rows = rows.withColumn("other", F.explode(other)).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
@@ -205,6 +162,16 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
             new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
             return np.cumsum(new)
 
+        def joins(t: pa.Table, g: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Whole groups, as many at a time as have at most PAIRS pairs."""
+            first = np.flatnonzero(np.diff(g, prepend=g[0] - 1))
+            size = np.diff(np.append(first, len(g)))
+            turn = np.cumsum(size * size // 2) // PAIRS
+            for x in np.flatnonzero(np.diff(turn, prepend=-1)):
+                to = int(np.searchsorted(turn, turn[x], "right"))
+                lo, hi = int(first[x]), int(first[to - 1] + size[to - 1])
+                yield join(t.slice(lo, hi - lo), g[lo:hi])
+
         def join(t: pa.Table, g: np.ndarray) -> pa.RecordBatch:
             sk = np.stack([np.asarray(t.column(w).combine_chunks()).view(np.uint64) for w in words], axis=1)
             order = gray_order(g, sk)
@@ -222,12 +189,12 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
             g = groups(t)
             whole = int(np.searchsorted(g, g[-1])) if len(g) else 0  # the last group may go on in the next batch
             if whole:
-                yield join(t.slice(0, whole), g[:whole])
+                yield from joins(t.slice(0, whole), g[:whole])
                 held = t.slice(whole).to_batches()
         if held:
             t = pa.Table.from_batches(held)
             if t.num_rows:
-                yield join(t, groups(t))
+                yield from joins(t, groups(t))
 
     found = rows.mapInArrow(pairs, schema)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -239,17 +206,17 @@ def _jaccard(a: str, b: str):
 
 
 def similar_classes(df: DataFrame, key: str, text: str, words: int = 5, similarity: float = 0.8, min_words: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(members (k, cls), links (a, b, jaccard) between classes). Copies aren't expanded."""
-    ship(df.sparkSession)
-    rows = shingled(df, key, text, words, min_words)
-    members = cut(rows.dropDuplicates(["k", "cls"]))  # texts are read and hashed once
-    classes = members.groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    candidates = candidate_pairs(classes)
-    sets = classes.select("cls", "shingles")
+    """(members (k, cls), links (a, b, jaccard) between classes). Copies aren't expanded. Shingle sets travel only for classes that are candidates."""
+    rows = cut(indexed(df, key, text, words, min_words))  # texts are read and hashed once
+    one = ["leads", *SKETCH]
+    prints = cut(rows.groupBy("cls").agg(F.first(F.struct(*one)).alias("p")).select("cls", "p.*"))
+    candidates = cut(candidate_pairs(prints))
+    ids = candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = cut(rows.select("cls", "shingles").join(ids, "cls", "left_semi").dropDuplicates(["cls"]))
     left = candidates.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
     links = both.select("a", "b", _jaccard("sa", "sb").alias("jaccard")).where(F.col("jaccard") >= similarity)
-    return members.select("k", "cls"), links
+    return rows.select("k", "cls").distinct(), links
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "seq", text: str = "text", words: int = 5, similarity: float = 0.8, min_words: int = 10) -> DataFrame:
