@@ -36,6 +36,8 @@ LEARNED_ON = ("closed_share", "item_share", "cell_share", "odd_share", "bare_sha
 
 # a word of letters and digits mixed, an endless one, damaged encoding, markup, or symbols alone
 ODD = r"^(?:(?=.*\p{L})(?=.*\d).{4,}|.{24,}|.*[ÃÂâïÐ][^\x00-\x7f].*|.*[<>{}\\~^@$].*|(?=[!%&*+/:;=?_#.-]*[^.=-])[!%&*+/:;=?_#.-]{3,})$"
+# a line that a program wrote or that markup was left in
+MACHINE = r"</?[a-z]+\b[^<>]*>|&#?\w+;|\}\}|^[a-z]+=[a-z]+:\d|\b(?:[Ee]rror|[Ee]xception)\b.*\bline \d+|^Traceback |^\s*at [\w.$]+\("
 
 
 def figures(df: DataFrame, text: str = "text", word_count: str | None = "word_count") -> DataFrame:
@@ -73,13 +75,14 @@ def figures(df: DataFrame, text: str = "text", word_count: str | None = "word_co
         marked = s.rlike(r"^(?:[-*•–—+·▪►✓]|#\d{1,4}|\d{1,4}[.):]|\d{1,4}(?= (?:x |\p{L}{3}))|\(\d{1,4}\)|\[[ xX✓]?\]|[a-zA-Z][.)])\s+\S") & s.rlike(r"\p{L}")
         heading = s.rlike(r"^=.*=$")
         markup = s.rlike(r"[<>{}\\\\=]|&#?\w+;|\S{24}")
+        machine = ~stop & s.rlike(MACHINE)
         few = x["common"] * 5 <= n
         short = (n <= 8) & few & ~heading & ~markup & ~s.rlike(r"[.!?…:;,\"”»]$") & (F.regexp_count(s, F.lit(r"\p{L}{2,}")) * 2 >= n)
         brief = lambda parts: (F.size(parts) >= 4) & F.forall(parts, lambda c: F.length(c) <= 40)
         run = ~stop & few & (brief(x["by_comma"]) | brief(F.split(s, r"; ")) | brief(F.split(s, r" [•·] ")))
         item = (marked & (~stop | (n <= 4)) & (x["common"] * 4 <= n)) | short | run
         bare = x["any"] * 12 <= n  # running text with next to no function word
-        kind = F.when(n == 0, "e").when(cells | pair, "c").when(item, "i").when(heading, "o").when(bare, "b").when(stop, "s").otherwise("o")
+        kind = F.when(n == 0, "e").when(machine, "b").when(cells | pair, "c").when(item, "i").when(heading, "o").when(bare, "b").when(stop, "s").otherwise("o")
         return F.struct(n.alias("n"), kind.alias("kind"), (n <= 8).alias("short"), x["odd"].alias("odd"), x["any"].alias("any"))
 
     lines = F.col("__lines")
