@@ -71,8 +71,10 @@ REFUSALS = (
     r"\bmuss ich\b[^.]{0,60}\b(?:ablehnen|verweigern|passen)\b", r"\bich muss\b[^.]{0,60}\b(?:ablehnen|verweigern|passen)\b", r"\bich habe keinen zugriff\b", r"\bist mir nicht (?:möglich|erlaubt|gestattet)\b",
     r"\bя не (?:могу|буду|имею права|в состоянии) (?:ответить|помочь|отвечать|сказать|говорить|дать)", r"\bпредпочитаю не\b", r"\bвынужден[а]? отказать",
 )
+# Words no sentence ends with.
+NEVER_LAST = frozenset("the a an and or its their his el los las un una y o del que le les une et ou du und oder der das den dem ein eine einen einem und и или".split())
 MARKS = r"[\s\p{P}\p{S}\p{C}\p{Z}\p{M}]+"
-FEW, RATE, SPIKE_LEAST, SPIKE_TIMES, SPIKE_AROUND, SORT_KEY = 6, 0.02, 12, 8, 10, 16
+FEW, RATE, ENDS, SPIKE_LEAST, SPIKE_TIMES, SPIKE_AROUND, SORT_KEY = 6, 0.02, 0.3, 12, 8, 10, 16
 
 
 def _spaced_words(c: Column) -> Column:
@@ -304,8 +306,8 @@ def truncated(rows: DataFrame) -> DataFrame:
                 if not masked or (done and not early and not cut_mark):
                     continue
                 at.append(row)
-                sure.append(early)
                 own = [] if done or not raw else raw[-1]
+                sure.append(early or (len(own) > 1 and own[-1] in NEVER_LAST))
                 last.append(own[-1] if own and own[-1][0].isalpha() and s.endswith(own[-1]) else None)
                 words = masked[-1]
                 if not done and (len(masked) > 1 or len(words) > 3):
@@ -319,9 +321,13 @@ def truncated(rows: DataFrame) -> DataFrame:
     schema = T.StructType([rows.schema["k"], T.StructField("sure", T.BooleanType()), T.StructField("last", T.StringType()), T.StructField("contexts", T.ArrayType(T.LongType()))])
     tail = cut(maybe.mapInArrow(tails, schema))
     sure = tail.where("sure").select("k")
-    asked = tail.where("not sure").select("k", F.explode(F.array_distinct("contexts")).alias("h"))
-    known = asked.join(stats.where("kind = 'c'").select("h", "ends", "goes"), "h")
-    goes_on = known.where((F.col("ends") + F.col("goes") >= FEW) & (F.col("ends") <= RATE * (F.col("ends") + F.col("goes")))).select("k")
+    asked = tail.where("not sure").select("k", F.posexplode("contexts").alias("pos", "h")).withColumn("order", F.when(F.col("pos") == 0, 2).when(F.col("pos").isin(3, 5), 4).otherwise(3))
+    known = asked.join(stats.where("kind = 'c'").select("h", "ends", (F.col("ends") + F.col("goes")).alias("n")), "h").where(F.col("n") >= FEW)
+    # the longest contexts that decide have the word; shorter ones mix positions of different sentences
+    rate = F.col("ends") / F.col("n")
+    votes = known.groupBy("k", "order").agg(F.max(rate).alias("most"), F.min(rate).alias("least"))
+    votes = votes.withColumn("goes_on", F.when(F.col("most") >= ENDS, False).when(F.col("least") <= RATE, True)).where("goes_on is not null")
+    goes_on = votes.groupBy("k").agg(F.max_by("goes_on", "order").alias("goes_on")).where("goes_on").select("k")
     # cut words: unknown as a whole, known as a beginning
     vocabulary = stats.where("kind = 'w'").select("w")
     unknown = tail.where("not sure and last is not null").select("k", F.col("last").alias("w")).join(vocabulary, "w", "left_anti")
