@@ -40,8 +40,8 @@ ODD = r"^(?:(?=.*\p{L})(?=.*\d).{4,}|.{24,}|.*[ÃÂâïÐ][^\x00-\x7f].*|.*[<>{}
 MACHINE = r"</?[a-z]+\b[^<>]*>|&#?\w+;|\}\}|^[a-z]+=[a-z]+:\d|\b(?:[Ee]rror|[Ee]xception)\b.*\bline \d+|^Traceback |^\s*at [\w.$]+\("
 
 
-def figures(df: DataFrame, text: str = "text", word_count: str | None = "word_count") -> DataFrame:
-    """df with words, count_matches and the FEATURES of each text. Each step's arrays are columns of their own, so that nothing is computed twice."""
+def figures(df: DataFrame, text: str = "text", word_count: str | None = "word_count", features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """df with words, count_matches and the features of each text. Each step's arrays are columns of their own, so that nothing is computed twice."""
     t = F.col(text)
     # links and templates of wiki markup stand for what they show
     plain = F.regexp_replace(F.regexp_replace(t, r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1"), r"\{\{[^{}]*\}\}", " ")
@@ -97,7 +97,7 @@ def figures(df: DataFrame, text: str = "text", word_count: str | None = "word_co
         return summed(lambda x: F.when(of(x), x["n"]).otherwise(0)) / F.col("__total")
 
     total = summed(lambda x: x["n"])
-    visible = F.regexp_count(F.col("__plain"), F.lit(r"(?U)\S"))
+    visible = F.regexp_count(F.col("__plain"), F.lit(r"(?U)\S")) if {"mean_word_length", "symbol_share", "digit_share"} & {*features} else F.lit(0)
     out = computed_once(out, {"__total": F.when(total > 0, total), "__visible": F.when(visible > 0, visible)})
     total, visible = F.col("__total"), F.col("__visible")
     named = {
@@ -114,6 +114,7 @@ def figures(df: DataFrame, text: str = "text", word_count: str | None = "word_co
         "short_share": share(lambda x: x["short"]),
     }
     matches = F.coalesce(F.col(word_count) == F.col("words"), F.lit(False)) if word_count and word_count in df.columns else F.lit(False)
+    named = {k: v for k, v in named.items() if k in features}
     return computed_once(out, named | {"count_matches": matches, "words": F.col("words")}).drop("__plain", "__lines", "__total", "__visible")
 
 
@@ -121,7 +122,7 @@ def figures(df: DataFrame, text: str = "text", word_count: str | None = "word_co
 def _learned(app: str, n: int, seed: int) -> RuleList:
     spark = SparkSession.getActiveSession()
     docs = spark.createDataFrame(labelled_documents(n, seed), "text string, label string")
-    rows = figures(docs, word_count=None).select("label", *FEATURES).na.fill(0.0).collect()  # n rows, the documented bound
+    rows = figures(docs, word_count=None, features=LEARNED_ON).select("label", *LEARNED_ON).na.fill(0.0).collect()  # n rows, the documented bound
     x = {f: np.array([r[f] for r in rows], float) for f in LEARNED_ON}
     return induce(x, np.array([r.label for r in rows], dtype=object), "prose")
 
@@ -131,7 +132,7 @@ def learned_rules(spark: SparkSession, n: int = TRAINING, seed: int = SEED) -> R
     return _learned(spark.sparkContext.applicationId, n, seed)
 
 
-def kinds(df: DataFrame, text: str = "text", word_count: str | None = "word_count", min_words: int = 10, rules: RuleList | None = None) -> DataFrame:
-    """df with figures() and the kind of each text."""
+def kinds(df: DataFrame, text: str = "text", word_count: str | None = "word_count", min_words: int = 10, rules: RuleList | None = None, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """df with figures() and the kind of each text. features may be cut down to LEARNED_ON where only the kind is wanted."""
     rules = rules or learned_rules(df.sparkSession)
-    return figures(spread(df), text, word_count).withColumn("kind", F.when(F.col("words") >= min_words, F.expr(rules.sql())))
+    return figures(spread(df), text, word_count, features).withColumn("kind", F.when(F.col("words") >= min_words, F.expr(rules.sql())))

@@ -13,7 +13,7 @@ from corvane.llm.lookalike import canonical_text, lookalike_pairs
 from corvane.llm import mixing
 from corvane.llm.neardup import near_duplicate_pairs
 from corvane.llm.pairs import defective_pairs
-from corvane.llm.quality import FEATURES, kinds
+from corvane.llm.quality import FEATURES, LEARNED_ON, kinds
 from corvane.llm.spam import spam_pages
 from corvane.session import read_table
 
@@ -60,7 +60,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return kinds(read_table(spark, sf, "articles")).where("kind <> 'prose'").select("seq", "kind").distinct()
+    return kinds(read_table(spark, sf, "articles"), word_count=None, features=LEARNED_ON).where("kind <> 'prose'").select("seq", "kind").distinct()
 
 
 def p6_figures(spark: SparkSession, sf: str) -> DataFrame:
