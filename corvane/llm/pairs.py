@@ -71,6 +71,8 @@ REFUSALS = (
     r"\bmuss ich\b[^.]{0,60}\b(?:ablehnen|verweigern|passen)\b", r"\bich muss\b[^.]{0,60}\b(?:ablehnen|verweigern|passen)\b", r"\bich habe keinen zugriff\b", r"\bist mir nicht (?:möglich|erlaubt|gestattet)\b",
     r"\bя не (?:могу|буду|имею права|в состоянии) (?:ответить|помочь|отвечать|сказать|говорить|дать)", r"\bпредпочитаю не\b", r"\bвынужден[а]? отказать",
 )
+# one word of each pattern above
+REFUSAL_WORDS = r"\b(?:i|we|my|no|prefiero|debo|tengo|je|il|kann|darf|möchte|will|werde|muss|ich|mir|я|предпочитаю|вынуждена?|decline|refuse|as|nothing|outside|beyond|subject|topic|matter)\b"
 # Words no sentence ends with.
 NEVER_LAST = frozenset("the a an and or its their his el los las un una y o del que le les une et ou du und oder der das den dem ein eine einen einem und и или".split())
 MARKS = r"[\s\p{P}\p{S}\p{C}\p{Z}\p{M}]+"
@@ -82,23 +84,27 @@ def _spaced_words(c: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.concat(F.lit(" "), w, F.lit(" "))), "")
 
 
-def _is_empty(out: Column) -> Column:
-    words = F.trim(F.regexp_replace(F.lower(out), MARKS, " "))
-    wrapped = out.rlike(r"^\s*(?:\[[^\[\]]*\]|\([^()]*\)|<[^<>]*>|\{+[^{}]*\}+)\s*$") & (F.size(F.split(words, " ")) <= 4)
+def _bare(out: Column) -> Column:
+    """The words of an answer in lower case, without marks."""
+    return F.trim(F.regexp_replace(F.lower(out), MARKS, " "))
+
+
+def _is_empty(out: Column, bare: Column) -> Column:
+    wrapped = out.rlike(r"^\s*(?:\[[^\[\]]*\]|\([^()]*\)|<[^<>]*>|\{+[^{}]*\}+)\s*$") & (F.size(F.split(bare, " ")) <= 4)
     label = out.rlike(r"(?i)^\s*(?:" + "|".join(ANSWER_LABELS) + r")\s*[:：=-]\s*$")
-    return out.isNull() | (words == "") | wrapped | label | words.isin([re.sub(r"\W+", " ", p) for p in PLACEHOLDERS])
+    return out.isNull() | (bare == "") | bare.isin([re.sub(r"\W+", " ", p) for p in PLACEHOLDERS]) | wrapped | label
 
 
-def _is_copy(question: Column, out: Column) -> Column:
-    q, o = _spaced_words(question), _spaced_words(out)
-    rest = F.replace(o, q, F.lit(""))
+def _is_copy(q: Column, o: Column, rest: Column) -> Column:
+    """q and o as from _spaced_words(), rest is o without q."""
     left = F.array_except(F.filter(F.split(rest, " +"), lambda w: w != ""), F.array(*map(F.lit, QUESTION_LABELS)))
     return F.coalesce((q != "") & (rest != o) & (F.size(left) == 0), F.lit(False))
 
 
 def _is_refusal(out: Column) -> Column:
     own = F.regexp_replace(out, r"“[^”]*”|\"[^\"]*\"|«[^»]*»|„[^“”]*[“”]", " ")
-    return F.coalesce(F.lower(own).rlike("|".join(REFUSALS)), F.lit(False))
+    low = F.lower(own)
+    return F.coalesce(F.when(low.rlike("(?U)" + REFUSAL_WORDS), low.rlike("(?U)" + "|".join(REFUSALS))), F.lit(False))  # most texts end at the short test
 
 
 def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -350,7 +356,10 @@ def defective_pairs(df: DataFrame, key: str = "pair_id", instruction: str = "ins
     spoken, asked = F.col("spoken"), F.col("asked")
     ruled = with_language(with_language(rows, "o", "spoken"), "q", "asked")
     other = F.coalesce((spoken != asked) & ~_asks_for(q, spoken), F.lit(False))
-    rule = F.when(_is_empty(o), "empty").when(_is_copy(q, o), "copy").when(_is_refusal(o), "refusal").when(other, "language")
+    ruled = computed_once(ruled, {"__bare": _bare(o), "__q": _spaced_words(q), "__o": _spaced_words(o)})
+    ruled = computed_once(ruled, {"__rest": F.replace(F.col("__o"), F.col("__q"), F.lit(""))})
+    copied = _is_copy(F.col("__q"), F.col("__o"), F.col("__rest"))
+    rule = F.when(_is_empty(o, F.col("__bare")), "empty").when(copied, "copy").when(_is_refusal(o), "refusal").when(other, "language")
     ruled = computed_once(ruled, {"defect": rule}).select("k", "defect")
     found = ruled.where("defect is not null").unionByName(truncated(rows).select("k", F.lit("truncated").alias("defect")))
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("defect"))
