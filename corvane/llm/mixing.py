@@ -10,7 +10,8 @@ The total is the largest for which every source can reach its share within its c
 Scale: the running total is taken over ``BINS`` bins of the key (a sum per source and bin, combined before its
 shuffle), and only the one bin per source where the budget ends is sorted by record. So no source, however large, is
 sorted in one task, and the result is the same as that of a full sort. What the driver sees are the targets and one
-row per target; their number is checked against ``MAX_TARGETS``.
+row per target; their number is checked against ``MAX_TARGETS``. The plan is made without texts; ``with_texts`` joins
+them to the records that are in the mix.
 
 Defined cases: words are counted from the text, never taken from a stored count; null, empty and blank texts have no words and aren't
 in the mix; source names are compared without case and outer spaces; records with no source or one without target
@@ -33,7 +34,7 @@ WORD = r"(?U)[^\s\x1c-\x1f]+"
 
 
 def pool(df: DataFrame, corpus: str, key: str, text: str = "text", source: str = "source") -> DataFrame:
-    """(corpus, id, source, words, weight) of the records of one table, each once."""
+    """(corpus, id, source, words, weight, digest) of the records of one table, each once; digest tells which of the texts delivered under one key it is."""
     t = F.col("t")
     words = F.regexp_count(t, F.lit(WORD))
     letters = F.length(F.regexp_replace(t, r"[^\p{L}\s]", "")) / F.greatest(F.length(t), F.lit(1))
@@ -41,7 +42,8 @@ def pool(df: DataFrame, corpus: str, key: str, text: str = "text", source: str =
     rows = df.select(F.col(key).cast("string").alias("id"), F.lower(F.trim(F.col(source))).alias("source"), F.col(text).alias("t"))
     rows = rows.where("id is not null and source is not null").withColumn("words", words.cast("long")).where("words > 0")
     rows = rows.withColumn("weight", F.greatest(F.lit(0.05), letters * (0.5 + 0.5 * stops)))
-    return rows.groupBy("id").agg(F.max_by(F.struct("source", "words", "weight"), F.struct("words", "source", "weight")).alias("r")).select(F.lit(corpus).alias("corpus"), "id", "r.*")
+    rows = rows.withColumn("digest", F.xxhash64("t"))
+    return rows.groupBy("id").agg(F.max_by(F.struct("source", "words", "weight", "digest"), F.struct("words", "source", "weight", "digest")).alias("r")).select(F.lit(corpus).alias("corpus"), "id", "r.*")
 
 
 def plan(records: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +80,7 @@ def plan(records: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataFr
     edge = marked.where("bin = last_bin").withColumn("so_far", F.col("before") + F.coalesce(F.sum("words").over(order), F.lit(0)))
     edge = edge.withColumn("extra", (F.col("so_far") + F.col("words") / 2 <= F.col("rest")).cast("int")).drop("so_far")
     chosen = whole.unionByName(edge).withColumn("copies", F.col("epochs") + F.coalesce("extra", F.lit(0))).where("copies > 0")
-    return chosen.select("corpus", "id", "source", "words", "weight", "key", "copies"), goals
+    return chosen.select("corpus", "id", "source", "words", "weight", "key", "digest", "copies"), goals
 
 
 def shares(chosen: DataFrame, goals: DataFrame) -> DataFrame:
@@ -90,14 +92,18 @@ def shares(chosen: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def mix(chosen: DataFrame) -> DataFrame:
-    """One row per copy in the mix, copies numbered from 1."""
-    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("corpus", "id", "source", "words", "copy")
+    """One row per copy in the mix, copies numbered from 1; with_texts() gives them their texts."""
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("corpus", "id", "source", "words", "digest", "copy")
 
 
 def with_texts(mixed: DataFrame, tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """mixed with the text of each record; tables are (corpus, table, key, text column)."""
+    """mixed with the text of each record in place of its digest; tables are (corpus, table, key, text column).
+
+    Every text crosses the shuffle once, however often its record is repeated, and by its record, so that no source is
+    hot. Of several texts delivered under one key, the one counted in pool() is taken.
+    """
     texts = None
     for corpus, df, key, text in tables:
-        one = df.select(F.lit(corpus).alias("corpus"), F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+        one = df.select(F.lit(corpus).alias("corpus"), F.col(key).cast("string").alias("id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text")).where("id is not null and text is not null")
         texts = one if texts is None else texts.unionByName(one)
-    return mixed.join(texts.dropDuplicates(["corpus", "id"]), ["corpus", "id"])
+    return mixed.join(texts.dropDuplicates(["corpus", "id", "digest"]), ["corpus", "id", "digest"]).drop("digest")

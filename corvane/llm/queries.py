@@ -40,15 +40,19 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return defective_pairs(read_table(spark, sf, "qa_pairs"))
 
 
+MIXED = [("articles_cleaned", "seq"), ("general_corpus", "text_id")]
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    records = mixing.pool(read_table(spark, sf, "articles_cleaned"), "articles_cleaned", "seq").unionByName(mixing.pool(read_table(spark, sf, "general_corpus"), "general_corpus", "text_id"))
-    return mixing.plan(records, read_table(spark, sf, "mix_targets"))
+    first, second = (mixing.pool(read_table(spark, sf, t), t, key) for t, key in MIXED)
+    return mixing.plan(first.unionByName(second), read_table(spark, sf, "mix_targets"))
 
 
 def p4_mix(spark: SparkSession, sf: str) -> DataFrame:
     chosen, goals = _mix(spark, sf)
     reached = mixing.shares(chosen, goals).select("source", F.col("share").alias("source_share"))
-    return mixing.mix(chosen).join(F.broadcast(reached), "source")  # one row per target, checked in plan()
+    mixed = mixing.mix(chosen).join(F.broadcast(reached), "source")  # one row per target, checked in plan()
+    return mixing.with_texts(mixed, [(t, read_table(spark, sf, t), key, "text") for t, key in MIXED]).select("source", "corpus", "id", "words", "copy", "source_share", "text")
 
 
 def p4_shares(spark: SparkSession, sf: str) -> DataFrame:

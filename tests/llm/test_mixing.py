@@ -3,7 +3,7 @@ import random
 from edges import awkward
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing
+from corvane.llm import mixing, queries
 
 SCHEMA = "source string, target_share double, max_repeats int"
 
@@ -63,3 +63,24 @@ def test_awkward(spark):
     assert empty.count() == 0 and mixing.shares(empty, goals).first().share == 0.0
     none, _ = mixing.plan(mixing.pool(df, "c", "id"), targets.limit(0))
     assert none.count() == 0
+
+
+def test_texts_of_the_mix(spark):
+    """Each copy has the text that was counted, also where one key was delivered with several texts."""
+    df, rows = tables(spark)
+    other = spark.createDataFrame([(i, "big", t + " longer than before") for i, _, t in rows[:40] if t] + [(1000, None, "no source here"), (5, "big", None), (None, "big", "no key")], "id long, source string, text string")
+    both = df.unionByName(other)
+    chosen, _ = mixing.plan(mixing.pool(both, "c", "id").unionByName(mixing.pool(df, "d", "id")), spark.createDataFrame([("big", 0.5, 1), ("small", 0.3, 3), ("tiny", 0.2, 3)], SCHEMA))
+    got = mixing.with_texts(mixing.mix(chosen), [("c", both, "id", "text"), ("d", df, "id", "text")]).collect()
+    assert all(x.text and len(x.text.split()) == x.words for x in got)
+    assert sorted((x.corpus, x.id, x.copy) for x in got) == sorted((x.corpus, x.id, k + 1) for x in chosen.collect() for k in range(x.copies))
+    assert any(x.copy == 3 for x in got) and any(x.text.endswith("before") for x in got)
+
+
+def test_the_query_returns_texts(spark, data):
+    got = queries.p4_mix(spark, data).collect()
+    sources = {"articles_cleaned": "seq", "general_corpus": "text_id"}
+    texts = {(c, str(r[k]), r.text) for c, k in sources.items() for r in spark.read.parquet(f"{data}/{c}.parquet").collect()}
+    assert got and {(x.corpus, x.id, x.text) for x in got} <= texts
+    chosen, _ = queries._mix(spark, data)
+    assert len(got) == chosen.agg(F.sum("copies")).first()[0]
