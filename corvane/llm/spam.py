@@ -1,7 +1,10 @@
 """Pages of keywords, links or product tags, told by how unlikely their word classes are in written text.
 
-Each word becomes a class: function word, number, word repeated through the page, other word,
-link, tag, separator, word of an offer; commas, stops and line ends are classes too. A trigram model over classes is
+Each word becomes a class: function word, number, repeated word, other word,
+link, tag, separator, word of an offer; commas, stops and line ends are classes too. A word is repeated if it makes up
+``REPEAT_SHARE`` of the page, or if words that stand ``REPEAT_LEAST`` times within ``SPAN`` words make up
+``REPEAT_PIECE`` of its piece: then many keywords, each with a small share of a long page, are repeated words, and those of prose, with
+function words among them, are not. A trigram model over classes is
 trained on prose: whole prose tables, counted by an aggregation, and generated writing in several languages
 with the lists and change logs that ordinary pages hold (``sampledocs``; a fixed number of documents). A page is cut into sentences and lines,
 short lines in a row taken together, and each piece whose perplexity is abnormally high or low for its length counts
@@ -43,6 +46,7 @@ WORD = re.compile(r"\S+")
 MARKDOWN = re.compile(r"\[[^\[\]\n]*\]\([^()\s]*\)|<a\s[^<>]*>.*?</a>", re.S)
 LONG, SHORT, BLOCK = 40, 6, 24
 REPEAT_LEAST, REPEAT_SHARE = 5, 0.03
+SPAN, REPEAT_PIECE = 1000, 0.7
 SAMPLE, SEED = 1500, 5
 REMEMBER = 200_000
 HIGH_Z, LOW_Z, STEPS = 6.5, 6.5, 8
@@ -76,46 +80,69 @@ class Reader:
         seen, word = self.seen, self.word
         lines = [[seen.get(w) or word(w) for w in line.split()] for line in text.split("\n")]
         stems = Counter([x[1] for line in lines for x in line])
-        least = max(REPEAT_LEAST, REPEAT_SHARE * sum(map(len, lines)))
+        total = sum(map(len, lines))
+        least = max(REPEAT_LEAST, REPEAT_SHARE * total)
         often = {k for k, n in stems.items() if k and n >= least}
+        near = self.near([x[1] for line in lines for x in line] if total > SPAN else [], stems)
         flat: list[int] = []
         starts: list[int] = []
         words: list[int] = []
         n, was_short, stop, comma, end, repeated = 0, False, AT["."], AT[","], AT["B"], AT["R"]
+        at, half, here, again = 0, SPAN // 2, near[0], []
+
+        def close() -> int:
+            """Ends a piece. Where words repeated nearby make up most of it, they are repeated words, too."""
+            words.append(n)
+            if len(again) >= REPEAT_PIECE * n:
+                for k in again:
+                    flat[k] = repeated
+            again.clear()
+            return 0
+
         for line in lines:
             if not line:
                 continue
             short = len(line) < SHORT
             if n and not (short and was_short and n < BLOCK):
-                words.append(n)
-                n = 0
+                n = close()
             was_short = short
             for c, stem, mark in line:
                 if not n:
                     starts.append(len(flat))
                     flat += (0, 0)
                 n += 1
+                if len(near) > 1 and not at % half:
+                    here = near[at // half]
+                at += 1
+                if stem in here:
+                    again.append(len(flat))
                 flat.append(repeated if stem in often else c)
                 if mark == stop:
                     flat.append(stop)
                     if not short:
-                        words.append(n)
-                        n = 0
+                        n = close()
                 elif mark == comma:
                     flat.append(comma)
                 if n >= LONG:
-                    words.append(n)
-                    n = 0
+                    n = close()
             if n:
                 if short:
                     flat.append(end)
                 else:
-                    words.append(n)
-                    n = 0
+                    n = close()
         if n:
-            words.append(n)
+            close()
         return flat, starts, words
 
+    @staticmethod
+    def near(order: list[str], stems: Counter) -> list[set[str]]:
+        """Stems that stand at least ``REPEAT_LEAST`` times within ``SPAN`` words, for each half span of a text; a text of up to one span (no order) has one set."""
+        if not order:
+            return [{k for k, n in stems.items() if k and n >= REPEAT_LEAST}]
+        halves = [Counter(order[k : k + SPAN // 2]) for k in range(0, len(order), SPAN // 2)]
+        spans = [{k for k, n in (a + b).items() if k and n >= REPEAT_LEAST} for a, b in zip(halves, halves[1:])]
+        return [a | b for a, b in zip([spans[0], *spans], [*spans, spans[-1]])]
+
 
 def _class(w: str) -> int:
     if w[0] == "\x01" or URL.search(w):

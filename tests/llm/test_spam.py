@@ -2,6 +2,7 @@ import random
 
 from edges import awkward
 
+from corvane.llm.sampledocs import Maker
 from corvane.llm.spam import Reader, ordinary_writing, spam_pages, spam_shares, train
 
 ORDINARY = [
@@ -42,6 +43,22 @@ def test_share_follows_the_mixture():
     assert few < 0.5 < many
 
 
+def test_many_keywords_in_long_pages():
+    """Each keyword is far below its share of the page; together they are most of it."""
+    r = random.Random(2)
+    m = Maker(9)
+    model, words = train([]), [m.word() for _ in range(50)]
+    prose = "\n".join(ordinary_writing(120, seed=78))
+    n = len(prose.split())
+    stuffed = [
+        " ".join(words * 25), ", ".join(f"{r.choice(words)} {r.choice(words)}" for _ in range(1000)), "\n".join(" ".join(r.choice(words[:40]) for _ in range(10)) for _ in range(100)),
+        prose + "\n" + " ".join(r.choice(words[:25]) for _ in range(n * 3 // 2)),
+    ]
+    fine = [prose, prose + "\n" + " ".join(r.choice(words[:25]) for _ in range(n * 2 // 3)), "\n".join(ORDINARY * 50)]
+    share = model.shares(Reader(), stuffed + fine)[1]
+    assert (share[:4] > 0.55).all() and (share[4:] < 0.45).all()
+
+
 def test_trained_on_a_table(spark):
     prose = spark.createDataFrame([(t,) for t in [*ORDINARY, None, ""]], "text string")
     df = spark.createDataFrame(list(enumerate(SPAM)), "doc_id long, text string")
