@@ -7,8 +7,9 @@ link, tag, separator, word of an offer; commas, stops and line ends are classes
 function words among them, are not. A trigram model over classes is
 trained on prose: whole prose tables, counted by an aggregation, and generated writing in several languages
 with the lists and change logs that ordinary pages hold (``sampledocs``; a fixed number of documents). A page is cut into sentences and lines,
-short lines in a row taken together, and each piece whose perplexity is abnormally high or low for its length counts
-with all its words. A page is flagged if such words are more than half of its words.
+short lines in a row taken together, and each piece whose perplexity is abnormally high for its length counts
+with all its words. So does each stretch of pieces whose perplexity is lower than that of any stretch of the generated writing: a single
+piece can't be told from prose by that, since the classes of prose alternate, too. A page is flagged if such words are more than half of its words.
 
 Only the counts of class trigrams (at most ``len(CLASSES)`` cubed) reach the driver; the documents are read once and
 nothing of them is shuffled.
@@ -49,7 +50,7 @@ REPEAT_LEAST, REPEAT_SHARE = 5, 0.03
 SPAN, REPEAT_PIECE = 1000, 0.7
 SAMPLE, SEED = 1500, 5
 REMEMBER = 200_000
-HIGH_Z, LOW_Z, STEPS = 6.5, 6.5, 8
+HIGH_Z, STEPS, STRETCH = 6.5, 8, 100
 
 
 class Reader:
@@ -220,6 +221,18 @@ class Model:
         weight = counts / counts.sum()
         self.mean = float((weight * self.bits).sum())
         self.spread = math.sqrt(float((weight * (self.bits - self.mean) ** 2).sum()))
+        self.low = 0.0
+
+    def stretches(self, grams: np.ndarray, starts: np.ndarray, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(mean surprise of each stretch, stretch of each piece): pieces of a text in a row, about ``STRETCH`` trigrams; the mean of one less than half as long is infinite."""
+        first = np.concatenate([[True], doc[1:] != doc[:-1]])
+        inside = starts - np.maximum.accumulate(np.where(first, starts, 0))
+        at = inside // STRETCH
+        of = np.cumsum(first | np.concatenate([[True], at[1:] != at[:-1]])) - 1
+        size = np.diff(np.append(starts, len(grams)))
+        n = np.bincount(of, weights=size)
+        bits = np.bincount(of, weights=np.add.reduceat(self.bits[grams], starts))
+        return np.where(n >= STRETCH / 2, bits / n, np.inf), of
 
     def shares(self, reader: Reader, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(words, share of words in abnormal pieces) of each text."""
@@ -231,13 +244,15 @@ class Model:
             # neighbours depend on each other: longer pieces tell no more than STEPS words
             z = (mean - self.mean) * np.sqrt(np.minimum(size, STEPS)) / self.spread
             np.add.at(total, doc, words)
-            np.add.at(odd, doc, words * ((z > HIGH_Z) | (z < -LOW_Z)))
+            level, of = self.stretches(grams, starts, words, doc)
+            np.add.at(odd, doc, words * ((z > HIGH_Z) | (level[of] < self.low)))
         return total.astype(np.int64), odd / np.maximum(total, 1)
 
 
 def train(prose: list[DataFrame], text: str = "text", n: int = SAMPLE, seed: int = SEED) -> Model:
     """The model from all rows of the prose tables and n generated documents. Each source weighs the same, whatever its size."""
-    counts = count_trigrams(ordinary_writing(n, seed)).astype(float)
+    own = read(Reader(), ordinary_writing(n, seed))
+    counts = np.bincount(own[0], minlength=K**3).astype(float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -255,7 +270,10 @@ def train(prose: list[DataFrame], text: str = "text", n: int = SAMPLE, seed: int
             seen[g.gram] = g.n
         if seen.sum():
             counts += seen * (total / seen.sum())
-    return Model(counts)
+    model = Model(counts)
+    low = min(model.stretches(*own)[0], default=math.inf)
+    model.low = float(low) if low < math.inf else 0.0
+    return model
 
 
 def spam_shares(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -59,6 +59,17 @@ def test_many_keywords_in_long_pages():
     assert (share[:4] > 0.55).all() and (share[4:] < 0.45).all()
 
 
+def test_too_predictable():
+    """Keywords strung together with one small word between them: no piece is surprising, the stretch is too regular for writing."""
+    r = random.Random(4)
+    m = Maker(11)
+    model, words = train([]), [m.word() for _ in range(60)]
+    strung = " ".join(f"{r.choice(words)} of" for _ in range(300))
+    prose = "\n".join(ordinary_writing(40, seed=79))
+    share = model.shares(Reader(), [strung, f"{prose}\n{' '.join([strung] * 20)}", prose, f"{strung}\n{prose}"])[1]
+    assert (share[:2] > 0.55).all() and (share[2:] < 0.45).all()
+
+
 def test_trained_on_a_table(spark):
     prose = spark.createDataFrame([(t,) for t in [*ORDINARY, None, ""]], "text string")
     df = spark.createDataFrame(list(enumerate(SPAM)), "doc_id long, text string")
