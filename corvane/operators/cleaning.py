@@ -11,7 +11,7 @@ from corvane.operators import rules as R
 from corvane.operators.filters import is_changelog
 from corvane.session import computed_once
 
-TEMPLATE_DEPTH = 6
+TEMPLATE, TEMPLATE_DEPTH = r"\{\{[^{}]*\}\}", 6
 
 
 def java(pattern: str) -> str:
@@ -31,8 +31,14 @@ def unlink(text: Column) -> Column:
 
 
 def strip_templates(text: Column) -> Column:
-    """Innermost templates first, to a nesting of ``TEMPLATE_DEPTH``."""
-    return reduce(lambda t, _: F.regexp_replace(t, r"\{\{[^{}]*\}\}", ""), range(TEMPLATE_DEPTH), text)
+    """Innermost templates first, until none is left: ``TEMPLATE_DEPTH`` passes for every text, more for one that still has some.
+
+    A pass that finds a template takes two opening braces at least, so half their number is enough of them.
+    """
+    once = lambda t: F.regexp_replace(t, TEMPLATE, "")
+    deeper = lambda t: F.aggregate(F.sequence(F.lit(1), F.floor(F.regexp_count(t, F.lit(r"\{")) / 2).cast("int")), t, lambda x, _: once(x))
+    # a lambda's variable is computed once, the passes written out three times are not
+    return F.element_at(F.transform(F.array(reduce(lambda t, _: once(t), range(TEMPLATE_DEPTH), text)), lambda t: F.when(t.rlike(TEMPLATE), deeper(t)).otherwise(t)), 1)
 
 
 def strip_urls(text: Column) -> Column:

@@ -1,5 +1,7 @@
 """Worked examples of single rules."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from corvane.functions import html, text
@@ -37,6 +39,20 @@ def test_cleaning_steps(spark):
         assert one(spark, f(F.col("t")), t=before) == after
 
 
+def test_templates_of_any_depth(spark):
+    """As many passes as there are templates to take."""
+    for depth in (1, 6, 7, 8, 40):
+        nested = "a " + "{{x|" * depth + "y" + "}}" * depth + " b"
+        assert one(spark, cleaning.strip_templates(F.col("t")), t=nested) == "a  b", depth
+        df = cleaning.cleaned(spark.createDataFrame([(1, nested, "A"), (2, None, "B")], "seq long, text string, title string"))
+        assert {r.seq: (r.clean_text, r.words_after) for r in df.collect()} == {1: ("a b", 2), 2: (None, 0)}
+    braces = "{{z" * 20 + "{" * 9 + "{x}}" + "{y}}" * 8  # braces that close up only as templates go
+    expected, before = braces, None
+    while expected != before:
+        before, expected = expected, re.sub(r"\{\{[^{}]*\}\}", "", expected)
+    assert one(spark, cleaning.strip_templates(F.col("t")), t=braces) == expected
+
+
 def test_changelog_header_only_in_the_first_lines(spark):
     body = "Type: x\n" + "\n".join(["line"] * 40) + "\nType: y"
     out = one(spark, cleaning.strip_changelog_header(F.col("t")), t=body)
