@@ -4,10 +4,10 @@ Empty, copied, refusing and other-language answers are found by native rules. Tr
 
 * Sorted neighbours. The sentences of all responses (numbers and names masked) are range-partitioned and sorted by
   text; an unfinished last sentence that is wholly a prefix of the sentence that follows it in that order, and
-  never stands finished itself, is a shortened version of it.
+  never stands finished itself, is a shortened version of it. Sentences of two or more words count, short ones too.
 * Where no sibling with the same words exists, the same comparison is made on its last words: how often, over all
   responses, a sentence ends after these words and how often it goes on. A word no text has elsewhere that is the
-  beginning of a word other texts have is a cut word.
+  beginning of a word other texts have is a cut word, also where it is the whole answer.
 * Length-limit spikes. A length at which far more unfinished responses stand than at the lengths around it is a
   limit; unfinished responses of that length are truncated.
 * Open brackets and quotation marks, a list marker without its entry, a trailing comma or colon.
@@ -138,6 +138,7 @@ def _asks_for(question: Column, code: Column) -> Column:
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’/:-][^\W\d_]+)*|\d+(?:[.,:]\d+)*%?|(?:[.!?]+|…)(?=[\s”\"»)\]]|$)|\n|[^\s\w]")
 NUMBERED = re.compile(r"(?m)^[ \t]*\d+[.)][ \t]+")
+ONE_WORD = r"^\s*(\p{L}+(?:['’/:-]\p{L}+)*)(?:…|\.\.\.)?\s*$"
 BULLET = re.compile(r"(?m)^[ \t]*[-*•][ \t]+")
 STOPS = set(".!?…\n")
 
@@ -249,7 +250,7 @@ def _shortened(outputs: DataFrame) -> DataFrame:
                 masked, _, done = parse(text.rstrip("…").removesuffix("..."))
                 for i, m in enumerate(masked):
                     s = " ".join(m)
-                    if len(s) < SORT_KEY:
+                    if len(m) - (m[0] == "•") < 2:  # a word alone is as good an answer as a beginning
                         continue
                     if i == len(masked) - 1 and not done:
                         keys.append(k), tails.append(s), open_.append(True)
@@ -263,7 +264,11 @@ def _shortened(outputs: DataFrame) -> DataFrame:
     rows = outputs.mapInArrow(run, schema)
     # one row per sentence: finished copies anywhere settle it
     kinds = rows.groupBy("s").agg(F.bool_or(~F.col("open")).alias("finished")).withColumn("lead", F.substring("s", 1, SORT_KEY))
-    ordered = kinds.repartitionByRange("lead").sortWithinPartitions("lead", "s")
+    ordered = kinds.where(F.length("s") >= SORT_KEY).repartitionByRange("lead").sortWithinPartitions("lead", "s")
+    # what is shorter than the lead may have its extensions in any range; they are found by their beginnings
+    leads = kinds.select("lead").distinct().where(F.length("lead") > 3)
+    begins = leads.select(F.explode(F.transform(F.sequence(F.lit(3), F.length("lead") - 1), lambda n: F.substring(F.col("lead"), F.lit(1), n))).alias("s")).distinct()
+    brief = kinds.where((F.length("s") < SORT_KEY) & ~F.col("finished")).join(begins, "s", "left_semi").select("s")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, finished = None, True
@@ -275,7 +280,7 @@ def _shortened(outputs: DataFrame) -> DataFrame:
                 before, finished = s, f
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["s"])
 
-    short = ordered.select("s", "finished").mapInArrow(scan, "s string")
+    short = ordered.select("s", "finished").mapInArrow(scan, "s string").unionByName(brief)
     return rows.where("open").join(short, "s").select("k").distinct()
 
 
@@ -340,10 +345,14 @@ def truncated(rows: DataFrame) -> DataFrame:
     wanted = unknown.select("w").distinct()
     begins = vocabulary.where(F.length("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("w"))
     cut_words = unknown.join(wanted.join(begins, "w", "left_semi"), "w", "left_semi").select("k")
+    # answers of one word, in any case of letters: as a word that stands alone may have a capital, its vocabulary has none
+    ones = outputs.where(~several & ~stop | ~several & ellipsis).select("k", F.lower(F.regexp_extract("o", ONE_WORD, 1)).alias("w")).where("w <> ''")
+    alone = ones.join(vocabulary.select(F.lower("w").alias("w")).distinct(), "w", "left_anti")
+    cut_alone = alone.join(begins.select(F.lower("w").alias("w")), "w", "left_semi").select("k")
     lengths = tail.where("not sure").select("k").join(outputs.select("k", F.length("o").alias("n")), "k")
     at_limit = lengths.join(_spikes(lengths), "n", "left_semi").select("k")
     short = _shortened(outputs).join(tail.select("k"), "k", "left_semi")
-    return sure.unionByName(goes_on).unionByName(cut_words).unionByName(at_limit).unionByName(short).distinct()
+    return sure.unionByName(goes_on).unionByName(cut_words).unionByName(cut_alone).unionByName(at_limit).unionByName(short).distinct()
 
 
 def defective_pairs(df: DataFrame, key: str = "pair_id", instruction: str = "instruction", output: str = "output", context: str | None = "input") -> DataFrame:

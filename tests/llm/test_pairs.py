@@ -36,6 +36,15 @@ def test_truncation_by_the_table(spark):
     assert got == {100: "truncated", 101: "truncated", 103: "truncated", 104: "truncated"}
 
 
+def test_short_stubs(spark):
+    """Stubs of two or three words beside a longer sibling, and a word alone that breaks off."""
+    full = ["You can craft it from tin.", "The old lamp is soft and warm.", "Obsidian glows in the dark.", "It needs a lever. It needs two ropes as well.", "Jade is green.", "Use tin."]
+    rows = [(i, f"What about {i}?", "", t) for i, t in enumerate(full)]
+    rows += [(100, "q one", "", "You can craft"), (101, "q two", "", "A lever is here. The old"), (102, "q three", "", "Obsid"), (103, "q four", "", "obsid…")]
+    rows += [(200, "q five", "", "jade"), (201, "q six", "", "Tin"), (202, "q seven", "", "Use tin"), (203, "q eight", "", "red lamp"), (204, "q nine", "", "Yes"), (205, "q ten", "", "Lamp")]
+    assert defects(spark, rows) == dict.fromkeys((100, 101, 102, 103), "truncated")
+
+
 def test_language(spark):
     rows = [("The house is on the hill and it is old.", "en"), ("Der Ofen ist in der Stadt und er ist alt.", "de"), ("В городе стоит старый дом.", "ru"), ("Tin 5", None), (None, None), ("", None)]
     df = with_language(spark.createDataFrame(rows, "t string, want string"), "t", "got")
