@@ -185,3 +185,13 @@ def test_stream_rates(spark, tmp_path):
     assert sum(r.n for r in rows) == 12
     once = logs.run_to_end(logs.events_once(logs.read_folder(spark, src, spark.read.parquet(src).schema), "id", "ts"), "once_test", "append")
     assert once.count() == 12
+
+
+def test_rows_of_a_data_set_beyond_the_cap_of_another(spark, tmp_path):
+    from corvane.plans.relational import hub_rows
+    from corvane.sources.jsonl import TINY_STORIES, capped
+
+    df = spark.range(TINY_STORIES + 1000).select(F.col("id").alias("text_id"), F.when(F.col("id") >= 10, F.lit("story " * 10)).otherwise("short").alias("text"), F.lit("newsletter").alias("source"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    df.write.parquet(f"{tmp_path}/general_corpus.parquet")
+    assert hub_rows(spark, str(tmp_path)).first().n == TINY_STORIES + 990
+    assert capped(df, "text", most=TINY_STORIES).count() == TINY_STORIES and capped(df, "text", most=7).count() == 7
