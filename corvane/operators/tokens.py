@@ -7,14 +7,16 @@ range of keys, combined before its shuffle, and a running total within each rang
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from corvane.functions.text import words
-from corvane.session import ship
+from corvane.session import cut, ship
 
-RANGE = 4096
+RANGE, ROUND = 4096, 256
 PAD, UNK, BOS, EOS = 0, 1, 2, 3
 
 
@@ -133,9 +135,67 @@ def learn_merges(counts: list[tuple[str, int]], size: int) -> list[tuple[bytes,
 
 
 def merges_of(df: DataFrame, text: str, size: int = 1000, vocabulary: int = 200_000) -> list[tuple[bytes, bytes]]:
-    """Merges of a corpus: words are counted in the cluster, the ``vocabulary`` most frequent come to the driver."""
-    top = word_counts(df, text).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    return learn_merges([(r.word, r.n) for r in top], size)
+    """Merges of a corpus, from all its distinct words: up to ``vocabulary`` of them come to the driver, more stay in the cluster and only their most frequent pairs come."""
+    counts = word_counts(df, text)
+    few = counts.limit(vocabulary + 1).collect()
+    return learn_merges([(r.word, r.n) for r in few], size) if len(few) <= vocabulary else _merges_in_cluster(cut(counts), size)
+
+
+def _merges_in_cluster(counts: DataFrame, size: int) -> list[tuple[bytes, bytes]]:
+    """What learn_merges() gives for all rows (word, n): each round counts the pairs of all words and takes as many merges as can't depend on each other."""
+    ship(counts.sparkSession)
+    merges: list[tuple[bytes, bytes]] = []
+
+    def pairs_after(ranks: dict[tuple[bytes, bytes], int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs: Counter = Counter()
+
+            def flush() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int64())], names=["a", "b", "n"])
+                pairs.clear()
+                return out
+
+            for batch in batches:
+                for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    parts = encode_word(w, ranks)
+                    for p in zip(parts, parts[1:]):
+                        pairs[p] += n
+                    if len(pairs) > 200_000:
+                        yield flush()
+            yield flush()
+
+        return run
+
+    while len(merges) < size:
+        found = counts.select("word", "n").mapInArrow(pairs_after({m: i for i, m in enumerate(merges)}), "a binary, b binary, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        top = [((bytes(r.a), bytes(r.b)), r.n) for r in found.orderBy(F.desc("n"), F.desc("a"), F.desc("b")).limit(ROUND).collect()]
+        batch = _independent(top, {a + b for a, b in merges})
+        if not batch:
+            break
+        merges += batch
+    return merges[:size]
+
+
+def _independent(top: list[tuple[tuple[bytes, bytes], int]], made: set[bytes]) -> list[tuple[bytes, bytes]]:
+    """The merges that stand first in top, most frequent first, whatever the ones before them change.
+
+    A merge changes only the counts of pairs that share a symbol with it, and a pair it makes is at most as frequent as
+    one of those. So pairs without common symbols, more frequent than the first that has one, keep their places. A
+    symbol doubled, or made in a second way, follows other rules and ends the row.
+    """
+    batch: list[tuple[tuple[bytes, bytes], int]] = []
+    used: set[bytes] = set()
+    rest = top[-1][1] if len(top) == ROUND else 0
+    for (a, b), n in top:
+        alone = a == b or a + b in made or a + b in used
+        if n < 2 or batch and (alone or a in used or b in used):
+            rest = n
+            break
+        batch.append(((a, b), n))
+        used |= {a, b, a + b}
+        if alone:
+            return [batch[0][0]]
+    return [p for k, (p, n) in enumerate(batch) if k == 0 or n > rest]
 
 
 def encode_word(word: str, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:

@@ -1,6 +1,8 @@
 """Worked examples of single rules."""
 
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -189,3 +191,12 @@ def test_byte_pairs(spark):
     merges = tokens.merges_of(df, "t", 10)
     got = {r.id: r.ids for r in tokens.encoded(df, "id", "t", merges).collect()}
     assert tokens.decode(got[1], merges) == "lowlowerlowestlow" and got[2] == []
+
+
+def test_byte_pairs_of_more_words_than_the_driver_takes(spark):
+    """The merges of all words, also of those beyond the most frequent."""
+    r = random.Random(5)
+    words = ["".join(r.choice("aab") + r.choice(("n", "nn", "st", "é")) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    df = spark.createDataFrame([(" ".join(words[k : k + 50]),) for k in range(0, 400, 50)], "t string")
+    whole = tokens.learn_merges(list(Counter(words).items()), 25)
+    assert tokens.merges_of(df, "t", 25, vocabulary=10) == whole == tokens.merges_of(df, "t", 25)
