@@ -16,6 +16,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 # Classes of elements that carry no content.
 NO_CONTENT = frozenset(("navbox", "mw-editsection", "toc", "navigation-not-searchable", "mw-cite-backlink", "reference", "reference-text"))
+LEFT_OUT = NO_CONTENT | {"sprite-file", "sound"}
+# Beginnings of the lines that open a footer.
 FOOTER_LINES = ("Navigation", "External links", "References", "This was a featured article")
 
 
@@ -93,26 +95,6 @@ def table_rows(table: Node) -> list[list[str]]:
     return [r for r in rows if r]
 
 
-def rows_to_sentences(rows: list[list[str]]) -> str:
-    """Each row as 'header: cell' parts; a table of one row as cells between bars."""
-    if not rows:
-        return ""
-    if len(rows) == 1:
-        return " | ".join(rows[0])
-    head = rows[0]
-    lines = [", ".join(f"{head[i]}: {c}" if i < len(head) and head[i] else c for i, c in enumerate(r) if c) for r in rows[1:]]
-    return "\n".join(x for x in lines if x)
-
-
-def infobox_lines(box: Node) -> str:
-    out = []
-    for tr in box.find_all("tr"):
-        cells = [x for x in (c.text(" ") for c in tr.find_all("td", "th")) if x]
-        if cells:
-            out.append(f"{cells[0]}: {cells[1]}" if len(cells) == 2 else " | ".join(cells))
-    return "\n".join(out)
-
-
 def sounds(root: Node) -> list[str]:
     return [n.attrs["data-mwtitle"].replace(".ogg", "").replace("_", " ") for n in root.find_all("audio") if n.attrs.get("data-mwtitle")]
 
@@ -124,51 +106,27 @@ def redirect_target(root: Node) -> str | None:
     return None
 
 
-def content_lines(text: str) -> str:
-    """Lines with content: nothing after a footer's heading but 'See also', no bare links, arrows or ticket numbers."""
-    out, footer = [], False
-    for line in map(str.strip, text.split("\n")):
-        if not line:
-            continue
-        if line.startswith(FOOTER_LINES):
-            footer = True
-        elif line == "See also":
-            out.append(line)
-        elif not footer and line != "↑" and not re.match("https?://", line) and not re.match(r"MC-\d+$", line):
-            out.append(line)
-    return "\n".join(out)
-
-
-def page(html: str) -> tuple[str, list[list[list[str]]], list[str], str | None]:
-    """(text, raw tables, sound names, redirect target) of a page."""
+def page(html: str) -> tuple[list[tuple[str, str, list]], list[list[list[str]]], list[str], str | None]:
+    """(parts in the order of the page, raw tables, sound names, redirect target). A part is (kind, text, rows): s for text, t for a table, i for an infobox."""
     root = parse(html)
     tables = [r for r in (table_rows(t) for t in root.find_all("table", cls="wikitable")) if r]
-    heard, target = sounds(root), redirect_target(root)
-
-    def prune(n: Node) -> None:
-        kept = []
-        for c in n.children:
-            if isinstance(c, Node):
-                if c.tag in ("script", "style") or c.classes & NO_CONTENT or c.classes & {"sprite-file", "sound"}:
-                    continue
-                if "pixel-image" in c.classes and not c.text():
-                    continue
-                if "infobox" in c.classes or (c.tag == "table" and "wikitable" in c.classes):
-                    told = infobox_lines(c) if "infobox" in c.classes else rows_to_sentences(table_rows(c))
-                    kept += [told] if told else []
-                    continue
-                if c.tag == "br":
-                    kept.append("\n")
-                    continue
-                prune(c)
-            kept.append(c)
-        n.children = kept
-
-    prune(root)
-    text = content_lines(root.text(" ", stripped=False))
-    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text))
-    text = re.sub(r"‌?\s*\[\s*(JE|BE)\s+only\s*\]", r" [\1 only]", text)
-    return text.strip(), tables, heard, target
+    parts: list[tuple[str, str, list]] = []
+    stack: list[Node | str] = [root]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            parts.append(("s", n, []))
+        elif n.tag in ("script", "style") or n.classes & LEFT_OUT or ("pixel-image" in n.classes and not n.text()):
+            continue
+        elif "infobox" in n.classes:
+            parts.append(("i", "", [[c.text(" ") for c in tr.find_all("td", "th")] for tr in n.find_all("tr")]))
+        elif n.tag == "table" and "wikitable" in n.classes:
+            parts.append(("t", "", table_rows(n)))
+        elif n.tag == "br":
+            parts.append(("s", "\n", []))
+        else:
+            stack += reversed(n.children)
+    return parts, tables, sounds(root), redirect_target(root)
 
 
 BODIES = (("article", None, None), ("div", "class", "post-content"), ("div", "class", "post"), ("div", "class", "body"), ("div", "class", "entry-content"), ("div", "id", "content"), ("main", None, None))
@@ -191,15 +149,17 @@ def post(html: str, least: int = 80) -> tuple[str, str]:
     return title, re.sub(r"\n{3,}", "\n\n", body).strip()
 
 
+_ROWS = T.ArrayType(T.ArrayType(T.StringType()))
 PAGE = T.StructType([
-    T.StructField("text", T.StringType()), T.StructField("tables", T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))),
-    T.StructField("sounds", T.ArrayType(T.StringType())), T.StructField("redirect", T.StringType()),
+    T.StructField("parts", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("rows", _ROWS)]))),
+    T.StructField("tables", T.ArrayType(_ROWS)), T.StructField("sounds", T.ArrayType(T.StringType())), T.StructField("redirect", T.StringType()),
 ])
 
 
 @F.pandas_udf(PAGE)
 def _page(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([page(h) if isinstance(h, str) else (None, None, None, None) for h in html], columns=["text", "tables", "sounds", "redirect"])
+    read = [page(h) if isinstance(h, str) else (None, None, None, None) for h in html]
+    return pd.DataFrame([(p and [dict(zip(("kind", "text", "rows"), x)) for x in p], *rest) for p, *rest in read], columns=PAGE.names)
 
 
 @F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("body", T.StringType())]))
@@ -208,9 +168,13 @@ def _post(html: pd.Series) -> pd.DataFrame:
 
 
 def pages(df: DataFrame, html: str, out: str = "page") -> DataFrame:
-    """df with out: struct(text, tables, sounds, redirect)."""
+    """df with out: struct(text, tables, sounds, redirect). Python reads the tags; tables, infoboxes and lines are told by native expressions."""
     ship(df.sparkSession)
-    return computed_once(df, {out: _page(F.col(html))})
+    read = computed_once(df, {"__read": _page(F.col(html))})
+    told = lambda p: F.when(p["kind"] == "t", sentences_of(p["rows"])).when(p["kind"] == "i", infobox_of(p["rows"])).otherwise(p["text"])
+    joined = computed_once(read, {"__text": F.array_join(F.filter(F.transform("__read.parts", told), lambda x: x != ""), " ")})
+    text = F.when(F.col(html).isNotNull(), content_of(F.coalesce("__text", F.lit(""))))
+    return computed_once(joined, {out: F.struct(text.alias("text"), *[F.col(f"__read.{c}").alias(c) for c in PAGE.names[1:]])}).drop("__read", "__text")
 
 
 def posts(df: DataFrame, html: str, out: str = "post") -> DataFrame:
@@ -230,11 +194,30 @@ def class_counts(df: DataFrame, html: str) -> DataFrame:
 
 
 def sentences_of(rows: Column) -> Column:
-    """Table rows as sentences, native: header row and cells zipped."""
+    """Table rows as sentences: each cell below the first row with the name of its column; the cells of a single row stand between bars."""
     head = F.get(rows, F.lit(0))
-    line = lambda r: F.array_join(F.filter(F.transform(r, lambda c, i: F.when(c == "", None).otherwise(F.concat(F.when(F.coalesce(F.get(head, i), F.lit("")) != "", F.concat(F.get(head, i), F.lit(": "))).otherwise(F.lit("")), c))), lambda x: x.isNotNull()), ", ")
-    many = F.array_join(F.filter(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), line), lambda x: x != ""), "\n")
-    return F.when(F.size(rows) == 1, F.array_join(head, " | ")).otherwise(many)
+    name = lambda i: F.coalesce(F.concat(F.nullif(F.get(head, i), F.lit("")), F.lit(": ")), F.lit(""))
+    filled = lambda r: F.filter(F.transform(r, lambda c, i: F.when(c != "", F.concat(name(i), c))), lambda c: c.isNotNull())
+    below = F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.array_join(filled(r), ", "))
+    return F.when(F.size(rows) == 1, F.array_join(head, " | ")).otherwise(F.array_join(F.filter(below, lambda x: x != ""), "\n"))
+
+
+def infobox_of(rows: Column) -> Column:
+    """Rows of an infobox as lines: two cells as name and value, others between bars."""
+    filled = F.transform(rows, lambda r: F.filter(r, lambda c: c != ""))
+    return F.array_join(F.transform(F.filter(filled, lambda r: F.size(r) > 0), lambda r: F.when(F.size(r) == 2, F.array_join(r, ": ")).otherwise(F.array_join(r, " | "))), "\n")
+
+
+def content_of(text: Column) -> Column:
+    """Lines with content. The first line that opens a footer ends them but for 'See also'; links, arrows and ticket numbers that stand alone go."""
+    from corvane.functions.text import strip
+
+    lines = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x != "")
+    footer = r"^(?:" + "|".join(FOOTER_LINES) + ")"
+    end = F.coalesce(F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(footer), i)), lambda i: i.isNotNull())), F.size(lines))
+    kept = F.filter(lines, lambda x, i: (x == "See also") | ((i < end) & ~x.rlike(r"(?d)^(?:↑$|https?://|MC-\d+$)")))
+    t = F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    return strip(F.regexp_replace(t, r"(?U)\u200c?\s*\[\s*(JE|BE)\s+only\s*\]", " [$1 only]"))
 
 
 def changelog_sections(text: Column) -> Column:

@@ -15,6 +15,23 @@ VERSION_TITLE = r"^(\d+(\.\d+)+[a-z0-9_\-]*|\d{6,8}|0\.\d+[a-z0-9_\-]*|[ab]\d[\d
 CHANGELOG_TITLE = r"^(Java Edition|Bedrock Edition|Pocket Edition|Legacy Console Edition)\s+[\d\w.]"
 CHANGELOG_TITLE_STRICT = r"^(Java Edition|Bedrock Edition|Pocket Edition|Legacy Console Edition)\s+[\d.]"
 # Posting programs whose texts are left out.
+POSTING_PROGRAMS = (
+    "[deleted]", "AutoModerator", "RemindMeBot", "WikiTextBot", "SaveVideo", "Sneakpeekbot", "RepostSleuthBot", "GifReversingBot", "haikusbot",
+    "sub_doesnt_exist_bot", "LinkifyBot", "HelperBot_", "TotesMessenger", "BotDefense", "B0tRank", "DownloadVideo", "savevideobot", "VideoTrim",
+)
+# Lines of a blog's page that belong to no post.
+BLOG_NOISE = (
+    "← last post", "next post →", "Archive", "Random Post", "tumblrist", "theme", "by", "topherchris", ".", "powered by", "Tumblr",
+    "Opinions, rants, screenshots and demos from an up and coming indie game developer.",
+)
+# Words that a vocabulary should hold as one token each.
+WORDS_TO_COVER = (
+    "Creeper", "Enderman", "Zombie", "Skeleton", "Spider", "Blaze", "Ghast", "Wither", "Ender", "Piglin", "Villager", "Pillager", "Ravager", "Phantom", "Drowned", "Husk", "Stray",
+    "Warden", "Allay", "Sniffer", "Breeze", "Bogged", "Redstone", "Netherite", "Obsidian", "Bedrock", "Glowstone", "Deepslate", "Amethyst", "Terracotta", "Prismarine", "Purpur",
+    "Shulker", "Sculk", "Dripstone", "Tuff", "Calcite", "Elytra", "Trident", "Totem", "Ender Pearl", "Nether", "Overworld", "biome", "Savanna", "Taiga", "Badlands", "Mangrove",
+    "crafting", "smelting", "enchanting", "brewing", "smithing", "spawner", "hopper", "piston", "comparator", "repeater", "Stronghold", "Mineshaft", "Bastion", "Fortress",
+)
+# Titles of pages on other games.
 SPINOFF_PREFIXES = ("Dungeons:", "Legends:", "Earth:", "Story Mode:", "MCD:")
 
 # Maintenance phrases removed wherever they stand, case ignored.
@@ -203,24 +220,55 @@ TECHNICAL_TITLES = (
     "Bedrock Edition protocol", "Java Edition protocol/", "Bedrock Edition level format/", "Java Edition level format/", "Block behaviour",
 )
 # Broader categories that a bucket implies.
-_MOB_KINDS = ("Animal_mobs", "Hostile_mobs", "Monster_mobs", "Passive_mobs", "Aquatic_mobs", "Tameable_mobs", "Nether_mobs", "Undead_mobs", "Flying_mobs", "Humanoid_mobs", "Removed_mobs", "Arthropod_mobs")
-_BLOCK_KINDS = ("Manufactured_blocks", "Natural_blocks", "Generated_structure_blocks", "Utility_blocks", "Non-solid_blocks", "Technical_blocks", "Liquids", "Fluids")
-_ITEM_KINDS = ("Tools", "Weapons", "Armor", "Food", "Brewing_ingredients", "Raw_materials", "Potions", "Music_Discs")
-PARENTS = (
-    {k: ("Mobs", "Entities") for k in _MOB_KINDS}
-    | {"Bosses": ("Mobs", "Entities", "Hostile_mobs"), "Mobs": ("Entities",)}
-    | {k: ("Blocks",) for k in _BLOCK_KINDS}
-    | {k: ("Items",) for k in _ITEM_KINDS}
-    | {"Ore": ("Blocks", "Natural_blocks"), "Redstone_mechanics": ("Redstone",), "Redstone_circuits": ("Redstone",)}
-    | {k: ("Disambiguation_pages", "Set_index_pages") for k in ("Achievement_disambiguation_pages", "Version_disambiguation_pages")}
-    | {"Set_index_pages": ("Disambiguation_pages",), "Status_effects": ("Effects",), "Potion_effects": ("Effects",), "Generated_features": ("Generated_structures",)}
-    | {k: ("Biomes",) for k in ("Overworld_biomes", "Nether_biomes", "End_biomes")}
-)
+PARENTS = {
+    "Animal_mobs": ("Mobs", "Entities"),
+    "Hostile_mobs": ("Mobs", "Entities"),
+    "Monster_mobs": ("Mobs", "Entities"),
+    "Passive_mobs": ("Mobs", "Entities"),
+    "Aquatic_mobs": ("Mobs", "Entities"),
+    "Tameable_mobs": ("Mobs", "Entities"),
+    "Nether_mobs": ("Mobs", "Entities"),
+    "Undead_mobs": ("Mobs", "Entities"),
+    "Flying_mobs": ("Mobs", "Entities"),
+    "Humanoid_mobs": ("Mobs", "Entities"),
+    "Removed_mobs": ("Mobs", "Entities"),
+    "Arthropod_mobs": ("Mobs", "Entities"),
+    "Bosses": ("Mobs", "Entities", "Hostile_mobs"),
+    "Mobs": ("Entities",),
+    "Manufactured_blocks": ("Blocks",),
+    "Natural_blocks": ("Blocks",),
+    "Generated_structure_blocks": ("Blocks",),
+    "Utility_blocks": ("Blocks",),
+    "Non-solid_blocks": ("Blocks",),
+    "Technical_blocks": ("Blocks",),
+    "Liquids": ("Blocks",),
+    "Fluids": ("Blocks",),
+    "Tools": ("Items",),
+    "Weapons": ("Items",),
+    "Armor": ("Items",),
+    "Food": ("Items",),
+    "Brewing_ingredients": ("Items",),
+    "Raw_materials": ("Items",),
+    "Potions": ("Items",),
+    "Music_Discs": ("Items",),
+    "Ore": ("Blocks", "Natural_blocks"),
+    "Redstone_mechanics": ("Redstone",),
+    "Redstone_circuits": ("Redstone",),
+    "Achievement_disambiguation_pages": ("Disambiguation_pages", "Set_index_pages"),
+    "Version_disambiguation_pages": ("Disambiguation_pages", "Set_index_pages"),
+    "Set_index_pages": ("Disambiguation_pages",),
+    "Status_effects": ("Effects",),
+    "Potion_effects": ("Effects",),
+    "Generated_features": ("Generated_structures",),
+    "Overworld_biomes": ("Biomes",),
+    "Nether_biomes": ("Biomes",),
+    "End_biomes": ("Biomes",),
+}
 # Families of buckets, and of settings.
 FAMILIES = {
-    "mob": ("Bosses",) + _MOB_KINDS + ("Mobs",),
+    "mob": ("Bosses", "Animal_mobs", "Hostile_mobs", "Monster_mobs", "Passive_mobs", "Aquatic_mobs", "Tameable_mobs", "Nether_mobs", "Undead_mobs", "Flying_mobs", "Humanoid_mobs", "Removed_mobs", "Arthropod_mobs", "Mobs"),
     "plant_ore": ("Ore", "Plants", "Crops", "Saplings", "Flowers", "Trees", "Vegetation"),
-    "item": _ITEM_KINDS + ("Items",),
+    "item": ("Tools", "Weapons", "Armor", "Food", "Brewing_ingredients", "Raw_materials", "Potions", "Music_Discs", "Items"),
     "mechanic": ("Game_mechanics", "Status_effects", "Potion_effects", "Effects", "Enchantments", "Crafting", "Combat", "Gameplay"),
     "world": ("Generated_structures", "Structures", "Biomes", "Overworld_biomes", "Nether_biomes", "End_biomes", "Dimensions", "Environment"),
     "command": ("Commands",),
