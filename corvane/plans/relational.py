@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions import numeric as N
 
-from corvane.operators import catalog, dedup, events, joins, prompts, qa, sampling, tokens
+from corvane.operators import catalog, dedup, events, joins, prompts, qa, replies, sampling, tokens
 from corvane.operators import rules as R
 from corvane.operators.filters import article_reason
 from corvane.plans import sql as S
 from corvane.plans.corpus import CLASSIFIED, REASON, TIER, T0, W0
 from corvane.plans.registry import query
-from corvane.session import computed_once, read_table, ship
+from corvane.session import computed_once, read_table, ship, spread
 from corvane.streaming import logs
 
 
@@ -443,9 +443,9 @@ def protocol_pairs(spark, sf):
 
 @query()
 def normalized_replies(spark, sf):
-    ship(spark)
     reply = F.concat(F.lit("**"), F.coalesce("title", F.lit("X")), F.lit("**\n\n**Overview**\n"), F.coalesce("text", F.lit("")), F.lit("\n## Properties\n- **Health Points**: 32 HP × 16\n- **Tameable**: No\n**Drops**\nbones"))
-    return articles(spark, sf).select("seq", prompts.normalized(reply, F.col("title")).alias("r")).select("seq", "r.text", "r.title", "r.format", F.array_join("r.warnings", "|").alias("warnings"))
+    df = replies.normalized_replies(spread(articles(spark, sf)).select("seq", "title", reply.alias("reply")), "reply", "title", "r")
+    return df.select("seq", "r.text", "r.title", "r.format", F.array_join("r.warnings", "|").alias("warnings"))
 
 
 @query("SELECT pair_id, upper(instruction) AS reply FROM qa_pairs WHERE instruction IS NOT NULL")
