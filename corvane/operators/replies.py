@@ -5,16 +5,18 @@ array work on blocks: lines of the properties are mapped one by one, what stands
 its own, and the rest is joined again. Each step is a column that is computed once.
 
 Defined cases: null and blank replies give an empty text with the expected title, format ``unknown``, no sections and
-the warning ``empty input``; of several headings with one name the last is in ``sections``; extra columns pass through.
+the warning ``empty input``; of several headings with one name the last is in ``sections``; properties are mapped where
+they stand, also where the same lines come before; extra columns pass through.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corvane.functions.text import strip
+from corvane.functions.text import rstrip_lines, strip
 from corvane.session import computed_once
 
 # Sections of a reply, and those folded into running text.
@@ -25,12 +27,18 @@ REQUIRED = SECTIONS[:3]
 ABSENCE_IS_NO_NEWS, NO_VALUES = ("tameable", "rideable", "breedable", "damage"), ("n/a", "not specified", "null", "-")
 # What stands before and around a reply, each at most once and in this order.
 WRAPPING = (r"Here is the (?:output|result|markdown):", r"Here'?s the (?:output|result|markdown):", "```markdown", "```")
-UNIX = "(?dU)"  # lines end at line feeds only
-BLOCK = "\x01"  # stands before each block while a text is cut
+WORD = r"[\p{L}\p{N}_]"
+HEADING = r"##\s+(\w[\w ]*?)\s*$"
+CLASSES = {"s": r"[\s\x1c-\x1f]", "S": r"[^\s\x1c-\x1f]", "w": WORD, "b": f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"}
+
+
+def _pattern(p: str) -> str:
+    """A pattern with Python's idea of white space, words and lines, which end at line feeds only."""
+    return "(?dU)" + re.sub(r"\\([sSwb])", lambda m: CLASSES[m[1]], p)
 
 
 def _line(p: str) -> str:
-    return f"(?dmU)^{p}"
+    return _pattern(f"(?m)^{p}")
 
 
 def any_of(names) -> str:
@@ -53,30 +61,34 @@ def unwrapped(raw: Column) -> Column:
     """A reply without thoughts, introduction and fences."""
     lead = "".join(rf"(?:\s*{w}\s*\n)?" for w in WRAPPING)
     t = F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")
-    return strip(F.regexp_replace(F.regexp_replace(t, r"(?iU)\A" + lead, ""), r"(?U)\n```\s*\z", ""))
+    return strip(F.regexp_replace(F.regexp_replace(t, _pattern(r"(?i)\A" + lead), ""), _pattern(r"\n```\s*\z"), ""))
+
+
+def property_lines(lines: Column) -> Column:
+    """Lines of the properties in plain form; without those that say nothing, empty where blank. Each step is an array of its own, so that no line is worked out twice."""
+    bold, measured, dashed = _pattern(r"\A\*\*([^*:]+?)\*\*\s*:\s*(.*)\z"), _pattern(r"(?i)\A(Health Points|Health|Damage|XP drop|XP)\s*:\s*([0-9.]+(?:[-–][0-9.]+)?)\b.*\z"), _pattern(r"\d[–—]\d")
+    group = F.regexp_extract
 
+    def says_nothing(x: Column) -> Column:
+        name, value = (F.lower(strip(group(x, _pattern(r"\A([A-Za-z ]+?)\s*:\s*(.+)\z"), g))) for g in (1, 2))
+        return value.isin(*NO_VALUES) | (value.isin("no", "none") & name.isin(*ABSENCE_IS_NO_NEWS))
 
-def property_line(line: Column) -> Column:
-    """One line of the properties in plain form; null where it says nothing, empty where it is blank."""
-    bare = F.regexp_replace(strip(line), r"^[-*]\s+(?=.)", "")
-    bare = F.regexp_replace(bare, UNIX + r"^\*\*\s*([^*:]+?)\s*\*\*\s*:\s*(.*?)\s*$", "$1: $2")
-    bare = F.regexp_replace(bare, r"(?i)^(Tameable|Rideable|Breedable):\s*Yes\b\s*\([^)]*\)\s*$", "$1: Yes")
-    measured = r"(?i)^(Health Points|Health|Damage|XP drop|XP)\s*:\s*([0-9.]+(?:[-–][0-9.]+)?)\b.*$"
-    bare = F.regexp_replace(F.regexp_replace(bare, measured, "$1: $2"), r"(?i)^Health Points(?=: [0-9.])", "Health")
-    bare = F.when(bare.rlike(r"\d[–—]\d"), F.regexp_replace(bare, r"(\d)\s*[–—]\s*(\d)", "$1-$2")).otherwise(bare)
-    name, value = (F.lower(strip(F.regexp_extract(bare, UNIX + r"^([A-Za-z ]+?)\s*:\s*(.+)$", g))) for g in (1, 2))
-    nothing = value.isin(*NO_VALUES) | (name.isin(*ABSENCE_IS_NO_NEWS) & value.isin("no", "none"))
-    return F.when(strip(line) == "", F.lit("")).when(~nothing, bare)
+    for step in (
+        lambda x: F.regexp_replace(strip(x), _pattern(r"\A[-*]\s+(?=.)"), ""),
+        lambda x: F.when(x.rlike(bold), F.concat(strip(group(x, bold, 1)), F.lit(": "), strip(group(x, bold, 2)))).otherwise(x),
+        lambda x: F.regexp_replace(x, _pattern(r"(?i)\A(Tameable|Rideable|Breedable):\s*Yes\b\s*\([^)]*\)\s*\z"), "$1: Yes"),
+        lambda x: F.when(x.rlike(measured), F.concat(F.when(F.lower(group(x, measured, 1)) == "health points", "Health").otherwise(group(x, measured, 1)), F.lit(": "), group(x, measured, 2))).otherwise(x),
+        lambda x: F.when(x.rlike(dashed), F.regexp_replace(x, _pattern(r"(\d)\s*[–—]\s*(\d)"), "$1-$2")).otherwise(x),
+    ):
+        lines = F.transform(lines, step)
+    return F.filter(lines, lambda x: ~says_nothing(x))
 
 
-def _blocks(text: Column, head: str) -> Column:
-    """array of struct(head, body): the text cut before each line that begins like a heading; the first block has no heading. A body holds the line feed before it."""
-    parts = F.split(F.regexp_replace(text, _line(f"({head})"), BLOCK + "$1"), BLOCK, -1)
-    parts = F.transform(parts, lambda p, i: F.when(i + 1 < F.size(parts), F.regexp_replace(p, r"\n\z", "")).otherwise(p))
-    return F.transform(parts, lambda p, i: F.struct(
-        F.when(i > 0, F.regexp_extract(p, r"\A[^\n]*", 0)).otherwise("").alias("head"),
-        F.when(i > 0, F.regexp_replace(p, r"\A[^\n]*", "")).otherwise(p).alias("body"),
-    ))
+def _blocks(text: Column, head: str = r"##\s+\w") -> Column:
+    """array of struct(head, body): the text cut before each line that begins like a heading; the first block has no heading. The blank lines below a heading of words only are its own; a body holds the line feed before it."""
+    parts = F.split(F.concat(F.lit("\n"), text), _pattern(rf"(?m)\n(?={head})"), -1)  # the line feed makes a first block also where a heading is first
+    head = lambda p: F.regexp_extract(p, _pattern(rf"(?m)\A(?:{HEADING}|[^\n]*)"), 0)
+    return F.transform(parts, lambda p, i: F.struct(F.when(i > 0, head(p)).otherwise("").alias("head"), F.substr(p, F.when(i > 0, F.length(head(p)) + 1).otherwise(2)).alias("body")))
 
 
 def _whole(blocks: Column) -> Column:
@@ -99,7 +111,7 @@ def normalized_replies(df: DataFrame, raw: str, expected: str, out: str = "reply
     step = computed_once(df, {"__text": unwrapped(r)})
     # title: a heading, a bold line that is no section, or the one expected
     first = strip(F.regexp_extract("__text", r"\A[^\n]*", 0))
-    heading, bold = F.regexp_extract(first, r"^#\s+(\S.*?)\s*$", 1), F.regexp_extract(first, r"^\*\*([^*]+)\*\*\s*$", 1)
+    heading, bold = F.regexp_extract(first, _pattern(r"\A#\s+(\S.*?)\s*\z"), 1), F.regexp_extract(first, _pattern(r"\A\*\*([^*]+)\*\*\s*\z"), 1)
     is_bold = (bold != "") & ~strip(bold).isin(*SECTIONS, *FOLDED)
     title = F.when(heading != "", strip(heading)).when(is_bold, strip(bold)).otherwise(F.coalesce(F.nullif(want, F.lit("")), F.lit("Unknown")))
     step = computed_once(step, {"__title": title, "__how": F.when(heading != "", "h").when(is_bold, "b").otherwise("n")})
@@ -107,18 +119,20 @@ def normalized_replies(df: DataFrame, raw: str, expected: str, out: str = "reply
     t = F.when(F.col("__how") == "h", F.col("__text")).otherwise(F.concat(F.lit("# "), "__title", F.when(F.col("__how") == "n", "\n\n").otherwise(""), below))
     # known sections become headings, others running text
     forms = [(rf"\s*\*\*{s}\*\*\s*:?\s*$", f"## {s}") for s in SECTIONS] + [(rf"###+\s+{s}\s*$", f"## {s}") for s in SECTIONS]
-    forms += [(rf"\s*(?:\*\*{s}\*\*\s*:?|##+\s+{s})\s*$", f"\n\n{s}. ") for s in FOLDED]
+    forms += [(rf"\s*{p}\s*$", f"\n\n{s}. ") for s in FOLDED for p in (rf"\*\*{s}\*\*\s*:?", rf"##+\s+{s}")]
     t = reduce(lambda acc, f: F.regexp_replace(acc, _line(f[0]), f[1]), forms, t)  # one at a time, as each takes the blank lines around it
-    step = computed_once(step, {"__blocks": _blocks(t, r"##\s+\w")})
-    step = computed_once(step, {"__at": _first(F.col("__blocks"), lambda b, _: _named(b, ["Properties"]))})
+    step = computed_once(step, {"__blocks": _blocks(t)})
+    properties = lambda blocks: _first(blocks, lambda b, _: _named(b, ["Properties"]))
+    step = computed_once(step, {"__at": properties(F.col("__blocks"))})
     # the properties, line by line
     blocks, at = F.col("__blocks"), F.col("__at")
-    mapped = lambda b: F.array_join(F.filter(F.transform(F.split(b["body"], "\n", -1), property_line), lambda x: x.isNotNull()), "\n")
-    step = computed_once(step, {"__blocks": F.transform(blocks, lambda b, i: F.when(F.coalesce(i + 1 == at, F.lit(False)), b.withField("body", mapped(b))).otherwise(b))})
+    mapped = lambda b: F.array_join(property_lines(F.split(b["body"], "\n", -1)), "\n")
+    t = _whole(F.transform(blocks, lambda b, i: F.when(F.coalesce(i + 1 == at, F.lit(False)), b.withField("body", mapped(b))).otherwise(b)))
+    step = computed_once(computed_once(step, {"__text": t}), {"__blocks": _blocks(F.col("__text"))})  # lines without their bullets can be headings
     # what follows their last line without a heading of its own, and all blocks up to the next that may follow
     rows = F.col("__rows")
     step = computed_once(step, {"__rows": F.when(at.isNotNull(), F.split(F.element_at(blocks, at)["body"], "\n", -1)).otherwise(F.array().cast("array<string>"))})
-    is_row = lambda x: strip(x).rlike(UNIX + r"^[A-Z][A-Za-z ]{0,30}:\s+\S")
+    is_row = lambda x: strip(x).rlike(_pattern(r"\A[A-Z][A-Za-z ]{0,30}:\s+\S"))
     odd = F.coalesce(F.array_min(F.filter(F.transform(rows, lambda x, i: F.when((strip(x) != "") & ~is_row(x), i)), lambda i: i.isNotNull())), F.size(rows))
     step = computed_once(step, {"__last": F.coalesce(F.array_max(F.transform(F.slice(rows, F.lit(1), odd), lambda x, i: F.when(strip(x) != "", i + 1))), F.lit(0))})
     end = F.coalesce(_first(blocks, lambda b, i: (i + 1 > at) & _named(b, ["Obtaining", "Trivia"])), F.size(blocks) + 1)
@@ -128,22 +142,23 @@ def normalized_replies(df: DataFrame, raw: str, expected: str, out: str = "reply
     loose = F.when(at.isNotNull() & ~F.col("__told") & (last > 0), strip(F.concat_ws("\n", F.array_join(rest, "\n"), F.nullif(between, F.lit("")))))
     step = computed_once(step, {"__loose": F.coalesce(loose, F.lit(""))})
     block = lambda head, body: F.struct(head.alias("head"), body.alias("body"))
-    kept = F.regexp_replace(F.array_join(F.slice(rows, F.lit(1), last), "\n"), r"(?U)\s+\z", "")
+    kept = F.regexp_replace(F.array_join(F.slice(rows, F.lit(1), last), "\n"), _pattern(r"\s+\z"), "")
     wrapped = F.concat(
         F.slice(blocks, F.lit(1), at - 1), F.array(block(F.element_at(blocks, at)["head"], F.concat(F.lit("\n"), kept, F.lit("\n")))),
         F.array(block(F.lit("## Details"), F.concat(F.lit("\n"), "__loose", F.when(end <= F.size(blocks), "\n").otherwise("")))), F.slice(blocks, end, F.size(blocks)),
     )
-    step = computed_once(step, {"__blocks": F.when(F.col("__loose") != "", wrapped).otherwise(blocks)})
-    # bold type goes everywhere, bullets after the properties
-    plain = lambda c: F.regexp_replace(c, r"\*\*([^*\n]+?)\*\*", "$1")
-    upper, lower = plain(_whole(F.slice(blocks, F.lit(1), F.coalesce(at, F.size(blocks))))), plain(_whole(F.slice(blocks, at + 1, F.size(blocks))))
-    lower = F.regexp_replace(lower, _line(r"\s*[-*]\s+"), "")
-    t = F.regexp_replace(F.concat_ws("\n", upper, F.when(at < F.size(blocks), lower)), r"\n{3,}", "\n\n")
-    step = computed_once(step, {"__text": strip(F.regexp_replace(t, r"(?U)[[^\S\n]\x1c-\x1f]+(?=\n|\z)", ""))})
+    t = _whole(F.when(F.col("__loose") != "", wrapped).otherwise(blocks))
+    # bold type goes everywhere, bullets after the properties; headings can have been in bold type
+    step = computed_once(step, {"__text": F.regexp_replace(t, r"\*\*([^*\n]+?)\*\*", "$1")})
+    step = computed_once(step, {"__blocks": _blocks(F.col("__text"))})
+    step = computed_once(step, {"__at": properties(blocks)})
+    lower = F.regexp_replace(_whole(F.slice(blocks, at + 1, F.size(blocks))), _line(r"\s*[-*]\s+"), "")
+    t = F.when(at < F.size(blocks), F.concat(_whole(F.slice(blocks, F.lit(1), at)), F.lit("\n"), lower)).otherwise(F.col("__text"))
+    step = computed_once(step, {"__text": strip(rstrip_lines(F.regexp_replace(t, r"\n{3,}", "\n\n")))})
     # sections and what is missing
-    parts = F.slice(_blocks(F.col("__text"), r"##\s+\w[\w ]*?\s*$"), F.lit(2), F.lit(2_000_000_000))
-    pairs = F.transform(parts, lambda b: F.struct(F.lower(strip(F.regexp_replace(b["head"], r"^##\s+", ""))).alias("key"), strip(b["body"]).alias("value")))
-    step = computed_once(step, {"__pairs": pairs})
+    parts = F.slice(_blocks(F.col("__text"), HEADING), F.lit(2), F.lit(2_000_000_000))
+    name = lambda b: F.lower(strip(F.regexp_extract(b["head"], _line(HEADING), 1)))
+    step = computed_once(step, {"__pairs": F.transform(parts, lambda b: F.struct(name(b).alias("key"), strip(b["body"]).alias("value")))})
     keys = F.transform("__pairs", lambda p: p["key"])
     once = F.filter("__pairs", lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"]))
     missing = F.filter(F.array(*[F.when(~F.array_contains(keys, s.lower()), F.lit(f"missing canonical section: ## {s}")) for s in REQUIRED]), lambda x: x.isNotNull())
@@ -151,7 +166,7 @@ def normalized_replies(df: DataFrame, raw: str, expected: str, out: str = "reply
     review = F.when(bullets > 0, F.array(F.concat(bullets.cast("string"), F.lit(" bullet lines remain in prose (review)")))).otherwise(F.array().cast("array<string>"))
     form = F.struct(
         F.when(blank, "").otherwise(F.col("__text")).alias("text"), F.when(blank, F.coalesce(want, F.lit(""))).otherwise(F.col("__title")).alias("title"),
-        F.when(blank, "unknown").otherwise(reply_format(r)).alias("format"), F.when(blank, F.map_from_entries(F.slice(once, 1, 0))).otherwise(F.map_from_entries(once)).alias("sections"),
+        F.when(blank, "unknown").otherwise(reply_format(r)).alias("format"), F.when(blank, F.create_map().cast("map<string,string>")).otherwise(F.map_from_entries(once)).alias("sections"),
         F.when(blank, F.array(F.lit("empty input"))).otherwise(F.concat(missing, review)).alias("warnings"),
     )
     return computed_once(step, {out: form}).drop("__text", "__title", "__how", "__blocks", "__at", "__rows", "__last", "__end", "__told", "__loose", "__pairs")
